@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .langid import op10_langid
 from .quality import op1_quality
+from .simhash import op2_simhash
 
-QUERIES = {f.__name__: f for f in (op1_quality,)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op10_langid)}
 ORACLE_SQL: dict[str, str] = {}
