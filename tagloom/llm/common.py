@@ -149,12 +149,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+class Spans:
+    """Polynomial hashes of spans of one byte buffer, from prefix sums."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        n = len(data)
+        self.prefix = np.zeros(n + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), dtype=np.uint64, out=self.prefix[1:])
+        self.back = powers(_INVERSE, n + 1)
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+        return mix((self.prefix[ends] - self.prefix[starts]) * self.back[starts] + (ends - starts).astype(np.uint64) + np.uint64(salt << 40))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hash of each span, from prefix sums."""
-    n = len(data)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), dtype=np.uint64, out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * powers(_INVERSE, n + 1)[starts] + (ends - starts).astype(np.uint64))
+    return Spans(data)(starts, ends)
 
 
 SPACE = np.zeros(256, bool)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .langid import op10_langid
+from .neighbours import OP8_SQL, op8_neighbours
 from .quality import op1_quality
 from .simhash import op2_simhash
+from .toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op10_langid)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op7_toxicity, op8_neighbours, op10_langid)}
+ORACLE_SQL: dict[str, str] = {"op8_neighbours": OP8_SQL}
