@@ -166,3 +166,21 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
     count = lambda kind: F.size(F.filter("__base", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(F.col("__base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+
+
+def redacted(documents: DataFrame, mark: str = "[SECRET]", q: float = FALSE_DISCOVERIES) -> DataFrame:
+    """The documents with every secret span replaced by ``mark``; n_chars, if there, follows; all other columns stay."""
+    names = documents.columns
+    out = scan(documents, names, q)
+    text = F.coalesce(F.col("text"), F.lit(""))
+
+    def step(a, s):
+        gap = F.substring(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
+        return F.when(s["end"] <= a["at"], a).otherwise(F.struct(s["end"].alias("at"), F.concat(a["out"], F.when(s["start"] >= a["at"], F.concat(gap, F.lit(mark))).otherwise(F.lit(""))).alias("out")))
+
+    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    new = F.when(F.size("secrets") > 0, F.aggregate("secrets", first, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))).otherwise(F.col("text"))
+    out = out.select(*[c for c in names if c != "text"], new.alias("text"), F.size("secrets").alias("__n"))
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.when(F.col("__n") > 0, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*names)

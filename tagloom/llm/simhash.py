@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, stored, table, with_field, words
+from .common import LOWER, chunks, mix, stored, table, with_field, words
 from .components import components
 
 GROUPS = 5
@@ -35,12 +35,12 @@ DENSE = 400
 _EVEN = 0x5555555555555555
 
 
-def fingerprints_of(data: np.ndarray, off: np.ndarray, k: int = 3) -> np.ndarray:
-    """64-bit SimHash of each row over the XXH64 (seed 42) of its k-word shingles."""
+def fingerprints_of(data: np.ndarray, off: np.ndarray, k: int = 3, tables: int = 1) -> np.ndarray:
+    """64-bit SimHash of each row over the XXH64 (seed 42) of its k-word shingles; further tables mix that hash."""
     n = len(off) - 1
     low = LOWER[data]
     s, e, row = words(low, off)
-    out = np.zeros(n, np.uint64)
+    out = np.zeros((tables, n), np.uint64)
     if not len(s):
         return out
     # the words of the chunk joined by single spaces, so that a shingle is one slice
@@ -73,12 +73,14 @@ def fingerprints_of(data: np.ndarray, off: np.ndarray, k: int = 3) -> np.ndarray
     edges = np.r_[cuts, len(owner)]
     h = np.fromiter((digest(raw[i:j], 42) for i, j in zip(a, b, strict=True)), np.uint64, len(a))
     step = 1 << 16
-    for lo in range(0, len(cuts)):
-        x, y = edges[lo], edges[lo + 1]
-        bits = np.zeros(64, np.int64)
-        for at in range(x, y, step):
-            bits += np.unpackbits(h[at : min(y, at + step)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out[owner[x]] = ones[bits * 2 > y - x].sum(dtype=np.uint64)
+    for j in range(tables):
+        hj = mix(h + np.uint64(j * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if j else h
+        for lo in range(len(cuts)):
+            x, y = edges[lo], edges[lo + 1]
+            bits = np.zeros(64, np.int64)
+            for at in range(x, y, step):
+                bits += np.unpackbits(hj[at : min(y, at + step)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            out[j, owner[x]] = ones[bits * 2 > y - x].sum(dtype=np.uint64)
     return out
 
 
@@ -92,7 +94,7 @@ def with_fingerprint(documents: DataFrame, k: int = 3, column: str = "fp", keep_
     def run(batches):
         for batch in batches:
             for part, data, off in chunks(batch):
-                yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(c)) for c in names], pa.array(fingerprints_of(data, off, k).view(np.int64))], [*names, column])
+                yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(c)) for c in names], pa.array(fingerprints_of(data, off, k)[0].view(np.int64))], [*names, column])
 
     return documents.mapInArrow(run, schema)
 
@@ -161,3 +163,44 @@ def groups_of(documents: DataFrame, k: int = 3, radius: int = 2) -> DataFrame:
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = groups_of(table(spark, sf_dir, "documents"))
     return out.select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(documents: DataFrame, k: int = 5, radius: int = 3, tables: int = 3) -> DataFrame:
+    """One document (least doc_id) of each group of near copies; all columns.
+
+    Documents are linked where one of ``tables`` independent fingerprints of their ``k``-word shingles lies within
+    ``radius`` bits: 3 of 64 bits stand for a cosine of 0.989, so every link is well above a similarity of 0.8, and
+    several fingerprints find what one misses by chance.
+    """
+    names = documents.columns
+    sketched = with_fingerprints(documents.withColumn("__rid", F.monotonically_increasing_id()), k, tables)
+    docs = stored(sketched)  # row numbers are fixed here
+    fps = [f"__fp{j}" for j in range(tables)]
+    nodes = stored(docs.groupBy(*fps).agg(F.min("__rid").alias("node")))
+    edges = None
+    for fp in fps:
+        least = stored(nodes.groupBy(F.col(fp).alias("fp")).agg(F.min("node").alias("least")))
+        same = nodes.join(least, nodes[fp] == least["fp"]).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+        pairs = links(least.select("fp"), radius)
+        far = pairs.join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        edges = same.union(far) if edges is None else edges.union(same).union(far)
+    root = components(edges)
+    owner = nodes.join(root, "node", "left").select(*fps, F.coalesce("root", "node").alias("root"))
+    rows = docs.select("__rid", "doc_id", *fps).join(owner, fps)
+    kept = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__rid").alias("r"))).alias("m")).select(F.col("m.r").alias("__rid"))
+    return docs.join(kept, "__rid", "left_semi").select(*names)
+
+
+def with_fingerprints(documents: DataFrame, k: int, tables: int) -> DataFrame:
+    """``documents`` with ``tables`` fingerprints __fp0, __fp1, ... of independent hashes."""
+    schema = documents.schema
+    for j in range(tables):
+        schema = with_field(schema, f"__fp{j}", "bigint")
+
+    def run(batches):
+        for batch in batches:
+            for part, data, off in chunks(batch):
+                fp = fingerprints_of(data, off, k, tables)
+                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(x.view(np.int64)) for x in fp]], schema.names)
+
+    return documents.mapInArrow(run, schema)
