@@ -81,30 +81,41 @@ def out_weight(edge: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, edge: DataFrame, iterations: int = 15, damping: float = 0.85) -> DataFrame:
     """rel_file, rank after a fixed number of rounds; the rank of files without outgoing edges is spread over all.
 
-    A round is one join on src and one sum by dst.  The transition table is written once, dealt by src; the dangling
-    mass and node count are scalars read between rounds, every third of which is written out to bound the plan.
+    With A the transition matrix, each round is r' = d A r + c, where the scalar c holds teleport and dangling mass.  So
+    r after k rounds is a combination of v_j = (d A)^j 1, whose factors follow from the sums of each v_j over dangling files.  The
+    v_j need no scalar, hence no job between rounds: a round is one join with the edges (one reused exchange) and
+    one aggregation, in which a self edge carries the earlier v_j along.
     """
-    iterations, damping = iterations if iterations > 0 else 15, damping if damping > 0 else 0.85
-    nodes = settled(nodes.select("rel_file").distinct())
-    n = nodes.count()
-    if n == 0:
-        return nodes.select("rel_file", F.lit(0.0).alias("rank"))
-    step = edge.join(out_weight(edge), "src").where("out_weight > 0").select("src", "dst", (F.col("weight") / F.col("out_weight")).alias("share"))
-    step = settled(step.repartition("src"))
-    sources = step.select(F.col("src").alias("rel_file")).distinct()
-    base = settled(nodes.join(sources.withColumn("__out", F.lit(True)), "rel_file", "left").select("rel_file", F.col("__out").isNull().alias("dangling")))
-    rank = base.select("rel_file", "dangling", F.lit(1.0 / n).alias("rank"))
-    for i in range(iterations):
-        lost = rank.agg(F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0)).alias("x"))
-        gained = rank.select(F.col("rel_file").alias("src"), "rank").join(step, "src").groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("inflow"))
-        rank = (
-            base.join(gained, base["rel_file"] == gained["dst"], "left").crossJoin(F.broadcast(lost))
-            .select("rel_file", "dangling", ((1 - damping) / n + damping * F.col("x") / n + damping * F.coalesce("inflow", F.lit(0.0))).alias("rank"))
+    rounds, d = iterations if iterations > 0 else 15, damping if damping > 0 else 0.85
+    base = settled(nodes.select("rel_file").distinct())
+    weight = out_weight(edge).where("out_weight > 0")
+    step = edge.join(weight, "src").select(F.col("src").alias("rel_file"), "dst", (F.col("weight") / F.col("out_weight") * d).alias("share"), F.lit(0.0).alias("own"))
+    step = settled(step.union(base.select("rel_file", F.col("rel_file").alias("dst"), F.lit(0.0).alias("share"), F.lit(1.0).alias("own"))))
+    state = base.select("rel_file", F.lit(1.0).alias("v0"))
+    for j in range(rounds):
+        state = (
+            state.join(step, "rel_file").groupBy("dst")
+            .agg(*[F.sum(F.col(f"v{i}") * F.col("own")).alias(f"v{i}") for i in range(j + 1)], F.sum(F.col(f"v{j}") * F.col("share")).alias(f"v{j + 1}"))
+            .withColumnRenamed("dst", "rel_file")
         )
-        if i % 3 == 2:
-            rank = settled(rank)
-    total = rank.agg(F.sum("rank").alias("s"))
-    return rank.crossJoin(F.broadcast(total)).select("rel_file", (F.col("rank") / F.col("s")).alias("rank"))
+        if j % 8 == 7:
+            state = settled(state)
+    state = settled(state)
+    dangling = state.join(weight.select(F.col("src").alias("rel_file")), "rel_file", "left_anti")
+    columns = [f"v{j}" for j in range(rounds + 1)]
+    sums = dangling.select(F.lit("lost").alias("k"), *columns).union(state.select(F.lit("all").alias("k"), *columns)).groupBy("k").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in columns])
+    got = {r["k"]: r for r in sums.collect()}
+    if "all" not in got:
+        return base.select("rel_file", F.lit(0.0).alias("rank"))
+    n = got["all"]["n"]
+    lost = [got["lost"][c] if "lost" in got else 0.0 for c in columns]
+    factor = [1.0 / n]
+    for _ in range(rounds):
+        c = (1 - d) / n + d * sum(f * x for f, x in zip(factor, lost, strict=False)) / n
+        factor = [c, *factor]
+    total = sum(f * got["all"][c] for f, c in zip(factor, columns, strict=True))
+    rank = sum((F.col(c) * F.lit(f / total) for f, c in zip(factor, columns, strict=True)), F.lit(0.0))
+    return state.select("rel_file", rank.alias("rank"))
 
 
 def reach(edge: DataFrame, seeds: DataFrame, depth: int = 3, key: list[str] | None = None) -> DataFrame:
