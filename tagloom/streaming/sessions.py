@@ -15,8 +15,8 @@ def debounced(changes: DataFrame, ts: str = "ts", keys: list[str] | None = None,
 
 
 def changed_files(changes: DataFrame, gap: str = "300 milliseconds", late: str = "1 second") -> DataFrame:
-    """window, files of each burst of a stream (ts, rel_file)."""
-    return changes.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("window")).agg(F.collect_set("rel_file").alias("files"))
+    """project, window, files of each burst of a stream (ts, project, rel_file); each project has bursts of its own."""
+    return changes.withWatermark("ts", late).groupBy("project", F.session_window("ts", gap).alias("window")).agg(F.collect_set("rel_file").alias("files"))
 
 
 def event_line(events: DataFrame) -> Column:
@@ -33,13 +33,13 @@ def event_json(events: DataFrame, project: str = "") -> DataFrame:
 
 
 def refresh_stream(changes: DataFrame, refresh: Callable[[DataFrame, int], None], checkpoint: str, gap: str = "300 milliseconds", late: str = "1 second"):
-    """Start a query that calls ``refresh(files, batch)`` with the distinct files of each closed burst.
+    """Start a query that calls ``refresh(files, batch)`` with the distinct (project, rel_file) of each closed burst.
 
     ``refresh`` re-reads those files, merges their tags and rebuilds graph and ranks; it must be idempotent, as a batch may be
     delivered again after a failure.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        refresh(batch.select(F.explode("files").alias("rel_file")).distinct(), number)
+        refresh(batch.select("project", F.explode("files").alias("rel_file")).distinct(), number)
 
     return changed_files(changes, gap, late).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(handle).start()
