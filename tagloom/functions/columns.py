@@ -20,7 +20,7 @@ LANGUAGES = {
     "cpp": (".cpp", ".cc", ".hpp"),
 }
 # Directories and file names that are never indexed.
-IGNORED_DIRS = (".git", "node_modules", ".repomap", "vendor", "dist", "build", "out", ".angular", ".next", ".nuxt", ".svelte-kit", "__pycache__", ".pytest_cache", ".mypy_cache", "coverage", ".nyc_output", ".turbo", ".cache", ".obsidian", ".trash")
+IGNORED_DIRS = (".git", "node_modules", ".tagloom", "vendor", "dist", "build", "out", ".angular", ".next", ".nuxt", ".svelte-kit", "__pycache__", ".pytest_cache", ".mypy_cache", "coverage", ".nyc_output", ".turbo", ".cache", ".obsidian", ".trash")
 IGNORED_SUFFIXES = (".d.ts", ".min.js", ".pb.go", ".gen.go", ".canvas", ".excalidraw", ".db", ".db-wal", ".db-shm")
 # Names of test files.
 TEST_SUFFIXES = ("_test.py", "_test.go", ".test.js", ".test.jsx", ".test.ts", ".test.tsx", ".spec.js", ".spec.jsx", ".spec.ts", ".spec.tsx")

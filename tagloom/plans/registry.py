@@ -152,7 +152,7 @@ def tb3_budget_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "events").select("event_id", C.budget(asked, 1500).alias("budget"))
 
 
-@query("SELECT event_id, len(list_intersect(string_split(path, '/'), ['.git', 'node_modules', '.repomap', 'vendor', 'dist', 'build', 'out', '.angular', '.next', '.nuxt', '.svelte-kit', '__pycache__', '.pytest_cache', '.mypy_cache', 'coverage', '.nyc_output', '.turbo', '.cache', '.obsidian', '.trash'])) > 0 OR regexp_matches(string_split(path, '/')[-1], '(\\.d\\.ts|\\.min\\.js|\\.pb\\.go|\\.gen\\.go|\\.canvas|\\.excalidraw|\\.db|\\.db-wal|\\.db-shm)$') AS ignored FROM paths", A.PATHS)
+@query("SELECT event_id, len(list_intersect(string_split(path, '/'), ['.git', 'node_modules', '.tagloom', 'vendor', 'dist', 'build', 'out', '.angular', '.next', '.nuxt', '.svelte-kit', '__pycache__', '.pytest_cache', '.mypy_cache', 'coverage', '.nyc_output', '.turbo', '.cache', '.obsidian', '.trash'])) > 0 OR regexp_matches(string_split(path, '/')[-1], '(\\.d\\.ts|\\.min\\.js|\\.pb\\.go|\\.gen\\.go|\\.canvas|\\.excalidraw|\\.db|\\.db-wal|\\.db-shm)$') AS ignored FROM paths", A.PATHS)
 def i1_i2_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.paths(spark, sf_dir).select("event_id", C.ignored_by_default(F.col("path")).alias("ignored"))
 

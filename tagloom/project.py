@@ -210,7 +210,7 @@ class Project:
             if len(defs) > 5:
                 w.add(f"  … {len(defs) - 5} more definitions\n")
         total = f"{len(sites) + len(grep)} references in {len({r['rel_file'] for r in [*sites, *grep]})} files"
-        total += f" ({len(grep)} of them text matches in files repomap does not parse)" if grep else ""
+        total += f" ({len(grep)} of them text matches in files that are not parsed)" if grep else ""
         total += f"; {len(said)} other mentions (imports, strings, comments) listed last" if said else ""
         hidden = sum(r["status"] == "test" for r in first) + len(plain) - len(grep) + len(other) - len(said)
         total += f"; {hidden} more in tests (include_tests=true)" if hidden else ""

@@ -94,7 +94,7 @@ class Ignore:
         self.rules = rules
 
     @classmethod
-    def of_tree(cls, root: str, own: str = ".repomapignore") -> Ignore:
+    def of_tree(cls, root: str, own: str = ".tagloomignore") -> Ignore:
         rules: list[Rule] = []
 
         def load(path: str, scope: str) -> None:
