@@ -7,7 +7,9 @@ earlier start).  Sorting all suffixes of a corpus would shuffle every byte many
    at equal offsets.  Neighbouring windows share their anchor; such a run, about 39 windows, is one row: the anchor's key, a hash of
    the run's bytes and its place.  Equal runs of one chunk are folded to the first before anything is shuffled.
 2. *Runs.*  By anchor key, equal runs are repeats of the first of them as a whole.  The firsts of one anchor that differ
-   (where a shared passage begins or ends, or a copy was edited) may still share some windows, which go on.
+   (where a shared passage begins or ends, or a copy was edited) may still share some windows.  Windows are classed by their
+   anchor's place in quarters; all windows of a class hold the same 81 bytes about the anchor, whose hash goes with the run.
+   Only where two firsts agree on a class's hash do their windows of that class go on.
 3. *Suffix sort.*  The suffixes at those windows' starts are sorted, within equal first 16 bytes, by mergesort: prefix polynomial
    hashes and a binary search give the common extension of two suffixes, and so their order, in a logarithmic number of steps.
    Neighbours with a common extension of a window are compared byte by byte before they count as equal.
@@ -37,15 +39,17 @@ from .common import Spans, chunks, mix, partitions, powers, stored, table
 
 WINDOW = 100
 GRAM = 24
-BLOCK = 1 << 20
-CHUNK = 16 << 20
+CLASSES = 4
+STEP = (WINDOW - GRAM) // CLASSES  # places of the anchor in a window, cut into classes
+BLOCK = 1 << 18
+CHUNK = 8 << 20
 BUCKET_BYTES = 48 << 20
 _PLACE = np.uint64((1 << 28) - 1)
 _NULL = (1 << 63) - 1
 
-RUN = np.dtype([("a", "<u4"), ("u", "<u8"), ("d", "<i8"), ("p", "<u4"), ("nv", "<u4")])
+RUN = np.dtype([("a", "<u4"), ("u", "<u8"), ("q", "<u2", (CLASSES,)), ("d", "<i8"), ("p", "<u4"), ("nv", "<u4"), ("o", "u1")])
 NOTE = np.dtype([("d", "<i8"), ("nv", "<u4"), ("p", "<u4"), ("ask", "u1")])
-REP = np.dtype([("w", "<u8"), ("x", "<u8"), ("d", "<i8"), ("v", "<u4"), ("p", "<u4")])
+REP = np.dtype([("w", "<u8"), ("x", "<u4"), ("d", "<i8"), ("v", "<u4"), ("p", "<u4")])
 
 
 def _ids(part: pa.RecordBatch) -> np.ndarray:
@@ -62,13 +66,32 @@ def _dealt(key: np.ndarray, n: int) -> np.ndarray:
     return (mix(key.astype(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(n)).astype(np.int64)
 
 
+def _pack(rows: np.ndarray) -> bytes:
+    """Rows by document and place, column by column, ids and places as differences, compressed."""
+    rows = rows[np.lexsort((rows["p"], rows["d"]))]
+    parts = [np.diff(rows[f], prepend=rows[f].dtype.type(0)) if f in ("d", "p") else rows[f] for f in rows.dtype.names]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(x).tobytes() for x in parts))
+
+
+def _unpack(raw: bytes, kind: np.dtype) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    out = np.zeros(len(raw) // kind.itemsize, kind)
+    at = 0
+    for f in kind.names:
+        size = kind[f].itemsize * len(out)
+        own = np.frombuffer(raw[at : at + size], kind[f].base).reshape(out[f].shape)
+        out[f] = np.cumsum(own, dtype=own.dtype) if f in ("d", "p") else own
+        at += size
+    return out
+
+
 def _packed(bucket: np.ndarray, rows: np.ndarray):
     """(bucket, bytes) of each bucket's rows."""
     order = np.argsort(bucket, kind="stable")
     b, rows = bucket[order], rows[order]
     cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
     ends = np.r_[cut[1:], len(b)]
-    return [int(b[i]) for i in cut], [rows[i:j].tobytes() for i, j in zip(cut, ends, strict=False)]
+    return [int(b[i]) for i in cut], [_pack(rows[i:j]) for i, j in zip(cut, ends, strict=False)]
 
 
 def runs_of(data: np.ndarray, off: np.ndarray):
@@ -81,7 +104,8 @@ def runs_of(data: np.ndarray, off: np.ndarray):
             continue
         grams = len(part) - GRAM + 1
         at = np.arange(grams)
-        hashes = Spans(part)(at, at + GRAM)
+        side = Spans(part)
+        hashes = side(at, at + GRAM)
         least = (hashes & ~_PLACE) | at.astype(np.uint64)
         width = 1
         while width * 2 <= span:
@@ -101,11 +125,25 @@ def runs_of(data: np.ndarray, off: np.ndarray):
         digest = xxhash.xxh3_64_intdigest
         u = np.fromiter((digest(raw[i:j]) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)), np.uint64, len(lo))
         r = np.searchsorted(off, lo + b0, side="right") - 1
-        yield hashes[anchor[first]], u, r, lo + b0 - off[r], (last - first + 1)
+        at = anchor[first]
+        quarters = np.zeros((len(at), CLASSES), np.uint16)  # 0: no window of the class
+        for c in range(CLASSES):
+            from_, many = _class(c, lo, last - first + 1, at - lo)
+            ok = np.flatnonzero(many > 0)
+            begin = at[ok] - c * STEP
+            quarters[ok, c] = (side(begin, begin + WINDOW - STEP, 3 + c) >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
+        yield hashes[at], u, r, lo + b0 - off[r], (last - first + 1), quarters, at - lo
+
+
+def _class(c: int, lo, n, o):
+    """First window and number of windows of class c of runs of n windows from lo on, whose anchor is at lo + o."""
+    far = o - (WINDOW - GRAM if c == CLASSES - 1 else c * STEP + STEP - 1)  # window of the class with the anchor farthest in
+    first = np.maximum(far, 0)
+    return lo + first, np.minimum(n - 1, o - c * STEP) - first + 1
 
 
 def _anchors(buckets: int, docs: int):
-    """Rows of runs by anchor bucket (kind 0) and notes of runs repeated within the chunk by document bucket (kind 1)."""
+    """Rows of runs by anchor bucket, and with them notes of runs that are repeats within the chunk, by document bucket."""
 
     def run(batches):
         for batch in batches:
@@ -114,9 +152,10 @@ def _anchors(buckets: int, docs: int):
                 got = [np.concatenate(x) for x in zip(*runs_of(data, off), strict=True)]
                 if not got:
                     continue
-                a, u, r, p, n = got
+                a, u, r, p, n, quarters, o = got
                 out = np.zeros(len(a), RUN)
                 out["a"], out["u"], out["d"], out["p"] = (a >> np.uint64(32)).astype(np.uint32), u, ids[r], p
+                out["q"], out["o"] = quarters, o
                 out["nv"] = n.astype(np.uint32) | (ver[r] << np.uint32(7))
                 order = np.lexsort((out["p"], out["d"], out["u"]))
                 out, a = out[order], a[order]
@@ -125,7 +164,7 @@ def _anchors(buckets: int, docs: int):
                 later = ~head & ((out["d"] != out["d"][which]) | (out["p"] != out["p"][which]))
                 b, rows = _packed((a[~later] % np.uint64(buckets)).astype(np.int64), out[~later])
                 nb, notes = _packed(_dealt(out["d"][later], docs), _notes(out[later], 0))
-                yield pa.RecordBatch.from_arrays([pa.array([0] * len(b) + [1] * len(nb), pa.int32()), pa.array(b + nb, pa.int64()), pa.array(rows + notes, pa.binary())], ["kind", "bucket", "rows"])
+                yield pa.RecordBatch.from_arrays([pa.array([-1] * len(b) + nb, pa.int64()), pa.array(b + [x % buckets for x in nb], pa.int64()), pa.array(rows + notes, pa.binary())], ["to", "bucket", "rows"])
 
     return run
 
@@ -137,27 +176,43 @@ def _notes(rows: np.ndarray, ask: int) -> np.ndarray:
 
 
 def _gather(t: pa.Table, kind: np.dtype) -> np.ndarray:
-    parts = [np.frombuffer(x, kind) for x in t.column("rows").to_pylist()] if t.num_rows else []
+    parts = [_unpack(x, kind) for x in t.column("rows").to_pylist()] if t.num_rows else []
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
 def _resolve_runs(docs: int):
-    """Equal runs after the first: repeats.  Firsts of an anchor with several different runs: to be asked."""
+    """Equal runs after the first: repeats.  Firsts that agree with another on one side of the anchor: asked."""
 
     def run(t: pa.Table) -> pa.Table:
-        x = _gather(t, RUN)
+        to = t.column("to").to_numpy()
+        x = _gather(t.filter(pa.array(to < 0)), RUN)
+        passed = t.filter(pa.array(to >= 0))
         x = x[np.lexsort((x["p"], x["d"], x["u"], x["a"]))]
-        new_a = np.r_[True, x["a"][1:] != x["a"][:-1]]
-        head = new_a | np.r_[True, x["u"][1:] != x["u"][:-1]]
+        new_a = np.r_[True, x["a"][1:] != x["a"][:-1]][: len(x)]
+        head = (new_a | np.r_[True, x["u"][1:] != x["u"][:-1]][: len(x)]) if len(x) else new_a
         which = np.flatnonzero(head)[np.cumsum(head) - 1]
         later = (x["d"] != x["d"][which]) | (x["p"] != x["p"][which])
-        group = np.cumsum(new_a) - 1
-        ask = head & (np.bincount(group, weights=head)[group] > 1)
-        # a fully repeated row shares its place with the first: it is asked with it
-        ask |= ~later & ~head & ask[which]
-        notes = np.concatenate([_notes(x[later], 0), _notes(x[ask], 1)])
+        # firsts, and fully repeated rows, which share the place of a first
+        first = np.flatnonzero(~later)
+        out = [_notes(x[later], 0)]
+        for c in range(CLASSES):
+            own = first[x["q"][first, c] > 0]
+            key = (x["a"][own].astype(np.uint64) << np.uint64(16)) | x["q"][own, c]
+            order = np.argsort(key, kind="stable")
+            own, key = own[order], key[order]
+            if not len(own):
+                continue
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            group = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(key)]))
+            own = own[np.bincount(group, weights=head[own])[group] > 1]
+            rows = x[own]
+            from_, many = _class(c, rows["p"].astype(np.int64), (rows["nv"] & np.uint32(127)).astype(np.int64), rows["o"].astype(np.int64))
+            note = _notes(rows, 1)
+            note["p"], note["nv"] = from_, (rows["nv"] & ~np.uint32(127)) | many.astype(np.uint32)
+            out.append(note)
+        notes = np.concatenate(out)
         b, rows = _packed(_dealt(notes["d"], docs), notes)
-        return pa.table({"bucket": pa.array(b, pa.int64()), "rows": pa.array(rows, pa.binary())})
+        return pa.table({"bucket": pa.array(b + passed.column("to").to_pylist(), pa.int64()), "rows": pa.array(rows + passed.column("rows").to_pylist(), pa.binary())})
 
     return run
 
@@ -295,6 +350,31 @@ class Suffixes:
         return out
 
 
+def _first_bytes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit key of the 16 bytes from each place on."""
+    out = np.zeros((2, len(at)), np.uint64)
+    for j in range(16):
+        out[j // 8] = (out[j // 8] << np.uint64(8)) | data[at + j]
+    return mix(out[0]) ^ (out[1] * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _merged(rows, lo, hi):
+    """Stretches of rows, overlapping and touching ones joined."""
+    order = np.lexsort((lo, rows))
+    rows, lo, hi = rows[order], lo[order], hi[order]
+    if not len(rows):
+        return rows, lo, hi
+    # ends made cumulative within a row by an offset that keeps rows apart
+    step = int(max(hi.max(), lo.max())) + 2
+    reach = np.maximum.accumulate(hi + rows * step)
+    new = np.r_[True, (lo[1:] + rows[1:] * step > reach[:-1]) | (rows[1:] != rows[:-1])]
+    first = np.flatnonzero(new)
+    return rows[first], lo[first], np.r_[reach[first[1:] - 1], reach[-1]] - rows[first] * step
+
+
+_STRETCH = np.dtype([("r", "<u4"), ("lo", "<u4"), ("hi", "<u4")])
+
+
 def _verdict(data: np.ndarray, off: np.ndarray, ids, rows, lo, hi):
     """Final columns of all rows, given removed stretches [lo, hi) of rows."""
     edge = np.zeros(len(data) + 1, np.int32)
@@ -329,32 +409,38 @@ def _sort_windows(buckets: int, docs: int):
         notes = _gather(right, NOTE)
         which, row = _Rows(ids, vers)(notes["d"], (notes["nv"] >> np.uint32(7)).astype(np.int64))
         p, n, ask = notes["p"][which].astype(np.int64), (notes["nv"][which] & np.uint32(127)).astype(np.int64), notes["ask"][which] > 0
-        # suffixes to sort
-        at = np.repeat(off[row[ask]] + p[ask], n[ask]) + (np.arange(int(n[ask].sum())) - np.repeat(np.cumsum(n[ask]) - n[ask], n[ask]))
+        # suffixes to sort, over the texts of the documents that have any
+        asked = np.zeros(len(ids), bool)
+        asked[row[ask]] = True
+        sizes = np.diff(off)
+        own_data = data[np.repeat(asked, sizes)]
+        own_off = np.concatenate([[0], np.cumsum(np.where(asked, sizes, 0))]).astype(np.int64)
+        at = np.repeat(own_off[row[ask]] + p[ask], n[ask]) + (np.arange(int(n[ask].sum())) - np.repeat(np.cumsum(n[ask]) - n[ask], n[ask]))
         owner = np.repeat(row[ask], n[ask])
         lo, hi, rows = p[~ask], p[~ask] + n[~ask] - 1 + WINDOW, row[~ask]
         reps = np.zeros(0, REP)
         if len(at):
-            s = Suffixes(data)
-            key = mix((s.prefix[at + 16] - s.prefix[at]) * powers(pow(0xD1342543DE82EF95, -1, 1 << 64), len(data) + 1)[at])
-            first = np.lexsort((at - off[owner], ids[owner], key))
+            s = Suffixes(own_data)
+            key = _first_bytes(own_data, at)
+            first = np.lexsort((at - own_off[owner], ids[owner], key))
             at, owner, key = at[first], owner[first], key[first]
             group = np.cumsum(np.r_[False, key[1:] != key[:-1]])
             order = s.sort(at, group)
             at, owner = at[order], owner[order]
             head = np.r_[True, ~s.equal(at[1:], at[:-1])]
             lead = np.flatnonzero(head)[np.cumsum(head) - 1]
-            place = at - off[owner]
+            place = at - own_off[owner]
             # the sort is stable and suffixes came in by (id, place), so a class's first is its least
             later = (ids[owner] != ids[owner[lead]]) | (place != place[lead])
             rows = np.concatenate([rows, owner[later]])
             lo, hi = np.concatenate([lo, place[later]]), np.concatenate([hi, place[later] + WINDOW])
             keep = ~later & head
             reps = np.zeros(int(keep.sum()), REP)
-            raw = data.tobytes()
-            reps["w"] = np.fromiter((xxhash.xxh3_64_intdigest(raw[i : i + WINDOW]) for i in at[keep].tolist()), np.uint64, len(reps))
-            reps["x"] = s.prefix[at[keep] + WINDOW] - s.prefix[at[keep]]
-            reps["x"] *= powers(pow(0xD1342543DE82EF95, -1, 1 << 64), len(data) + 1)[at[keep]]
+            raw = own_data.tobytes()
+            for i, a in enumerate(at[keep].tolist()):
+                h = xxhash.xxh3_128_intdigest(raw[a : a + WINDOW])
+                reps["w"][i], reps["x"][i] = h & 0xFFFFFFFFFFFFFFFF, h >> 96
+            del s, raw
             reps["d"], reps["v"], reps["p"] = ids[owner[keep]], vers[owner[keep]], place[keep]
         # documents with an asked window wait for other buckets
         waits = np.zeros(len(ids), bool)
@@ -363,17 +449,16 @@ def _sort_windows(buckets: int, docs: int):
         table_ = []
         number = np.cumsum(~waits) - 1
         free = ~waits[rows]
-        size = np.diff(off)
+        size = sizes
         mask = np.repeat(~waits, size)
         table_.append({"kind": pa.array([0] * len(done), pa.int32()), **_final(_verdict(data[mask], np.concatenate([[0], np.cumsum(size[done])]).astype(np.int64), ids[done], number[rows[free]], lo[free], hi[free]))})
         b, packed = _packed((reps["w"] % np.uint64(buckets)).astype(np.int64), reps)
         table_.append({"kind": pa.array([1] * len(b), pa.int32()), "bucket": pa.array(b, pa.int64()), "rows": pa.array(packed, pa.binary())})
         if waits.any():
             w = np.flatnonzero(waits)
-            cut = ~free
-            own = np.zeros(int(cut.sum()), np.dtype([("r", "<i8"), ("lo", "<i8"), ("hi", "<i8")]))
-            new = np.cumsum(waits) - 1
-            own["r"], own["lo"], own["hi"] = new[rows[cut]], lo[cut], hi[cut]
+            part = _merged((np.cumsum(waits) - 1)[rows[~free]], lo[~free], hi[~free])
+            own = np.zeros(len(part[0]), _STRETCH)
+            own["r"], own["lo"], own["hi"] = part
             blob = zstandard.ZstdCompressor(level=1).compress(data[~mask].tobytes())
             number_ = int(_dealt(ids[w[:1]], docs)[0])
             table_.append({"kind": pa.array([2], pa.int32()), "bucket": pa.array([number_], pa.int64()), "rows": pa.array([own.tobytes()], pa.binary()), "ids": pa.array([ids[w]], pa.list_(pa.int64())), "vers": pa.array([vers[w]], pa.list_(pa.int64())), "sizes": pa.array([size[w]], pa.list_(pa.int64())), "blob": pa.array([blob], pa.binary())})
@@ -407,10 +492,10 @@ def _finish(left: pa.Table, right: pa.Table) -> pa.Table:
     notes = _gather(right, NOTE)
     for i in range(left.num_rows):
         data, off, ids, vers = _texts(left.slice(i, 1))
-        own = np.frombuffer(left.column("rows")[i].as_py(), np.dtype([("r", "<i8"), ("lo", "<i8"), ("hi", "<i8")]))
+        own = np.frombuffer(left.column("rows")[i].as_py(), _STRETCH)
         which, row = _Rows(ids, vers)(notes["d"], (notes["nv"] >> np.uint32(7)).astype(np.int64))
         p = notes["p"][which].astype(np.int64)
-        out += _verdict(data, off, ids, np.concatenate([own["r"], row]), np.concatenate([own["lo"], p]), np.concatenate([own["hi"], p + WINDOW]))
+        out += _verdict(data, off, ids, np.concatenate([own["r"].astype(np.int64), row]), np.concatenate([own["lo"].astype(np.int64), p]), np.concatenate([own["hi"].astype(np.int64), p + WINDOW]))
     return pa.table(_final(out))
 
 
@@ -420,9 +505,8 @@ def deduplicate(documents: DataFrame) -> DataFrame:
     documents = documents.select("doc_id", "text")
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(partitions(spark), -(-size // BUCKET_BYTES))
-    found = stored(documents.mapInArrow(_anchors(buckets, buckets), "kind int, bucket bigint, rows binary"))
-    notes = found.where("kind = 0").groupBy("bucket").applyInArrow(_resolve_runs(buckets), "bucket bigint, rows binary")
-    notes = notes.union(found.where("kind = 1").select("bucket", "rows"))
+    found = documents.mapInArrow(_anchors(buckets, buckets), "to bigint, bucket bigint, rows binary")
+    notes = found.groupBy("bucket").applyInArrow(_resolve_runs(buckets), "bucket bigint, rows binary")
     texts = documents.mapInArrow(_pack_texts(buckets), "bucket bigint, ids array<bigint>, vers array<bigint>, sizes array<bigint>, blob binary")
     middle = stored(texts.groupBy("bucket").cogroup(notes.groupBy("bucket")).applyInArrow(_sort_windows(buckets, buckets), _MIDDLE))
     more = middle.where("kind = 1").select("bucket", "rows").groupBy("bucket").applyInArrow(_merge_windows(buckets), "bucket bigint, rows binary")
