@@ -6,7 +6,8 @@ adjacent tokens; skip edges join distant tokens with the same key (the last seve
 with the next one, so a token repeated n times has n - 1 edges.  Damped loopy sum-product over all of a chunk's
 documents at once gives marginals, and a token drawn to a kind by its twins becomes a span where no base span lies.
 
-All weights are learnt from base labels on a bounded sample of documents (distant supervision).  A text is used whole.
+All weights are learnt from base labels on a bounded sample of documents (distant supervision); tokens without a label whose
+twin in the text has one are left out of the learning.  A text is used whole.
 
 Edge cases: null and empty texts have no spans and the hash of the empty string; repeated rows are reported each;
 without a learnable sample nothing is added; an empty table gives no rows; clashing columns are replaced.
@@ -171,7 +172,11 @@ def fit(documents: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
                     if not len(nodes):
                         continue
                     y = _labels(nodes, base_spans(text))
-                    pick = np.random.default_rng(int(hashes[r]) & 0xFFFFFFFF).permutation(len(nodes))[:NODES_PER_ROW]
+                    # an unlabelled token whose twin is labelled is what the field is to decide: it teaches nothing
+                    marked = {t[3] for t, k in zip(nodes, y.tolist(), strict=True) if k and t[3]}
+                    known = np.array([bool(k) or t[3] not in marked for t, k in zip(nodes, y.tolist(), strict=True)])
+                    pick = np.random.default_rng(int(hashes[r]) & 0xFFFFFFFF).permutation(np.flatnonzero(known))[:NODES_PER_ROW]
+                    chain, skip = (e[known[e[:, 0]] & known[e[:, 1]]] for e in (chain, skip))
                     pairs = np.zeros((5, 5), np.int64)
                     np.add.at(pairs, (y[chain[:, 0]], y[chain[:, 1]]), 1)
                     same = int((y[skip[:, 0]] == y[skip[:, 1]]).sum())
