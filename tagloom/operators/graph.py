@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,40 +83,36 @@ def pagerank(nodes: DataFrame, edge: DataFrame, iterations: int = 15, damping: f
     """rel_file, rank after a fixed number of rounds; the rank of files without outgoing edges is spread over all.
 
     With A the transition matrix, each round is r' = d A r + c, where the scalar c holds teleport and dangling mass.  So
-    r after k rounds is a combination of v_j = (d A)^j 1, whose factors follow from the sums of each v_j over dangling files.  The
-    v_j need no scalar, hence no job between rounds: a round is one join with the edges (one reused exchange) and
-    one aggregation, in which a self edge carries the earlier v_j along.
+    r after k rounds is a combination of v_j = (d A)^j 1, whose factors follow from the sums of each v_j over dangling files.  No
+    round waits for a scalar: it is one join with the transition table, which is dealt by source once and kept, and
+    one aggregation, written to the shared folder.  All rounds have the same plan, so its code is compiled once.
     """
     rounds, d = iterations if iterations > 0 else 15, damping if damping > 0 else 0.85
     base = settled(nodes.select("rel_file").distinct())
-    weight = out_weight(edge).where("out_weight > 0")
-    step = edge.join(weight, "src").select(F.col("src").alias("rel_file"), "dst", (F.col("weight") / F.col("out_weight") * d).alias("share"), F.lit(0.0).alias("own"))
-    step = settled(step.union(base.select("rel_file", F.col("rel_file").alias("dst"), F.lit(0.0).alias("share"), F.lit(1.0).alias("own"))))
-    state = base.select("rel_file", F.lit(1.0).alias("v0"))
-    for j in range(rounds):
-        state = (
-            state.join(step, "rel_file").groupBy("dst")
-            .agg(*[F.sum(F.col(f"v{i}") * F.col("own")).alias(f"v{i}") for i in range(j + 1)], F.sum(F.col(f"v{j}") * F.col("share")).alias(f"v{j + 1}"))
-            .withColumnRenamed("dst", "rel_file")
-        )
-        if j % 8 == 7:
-            state = settled(state)
-    state = settled(state)
-    dangling = state.join(weight.select(F.col("src").alias("rel_file")), "rel_file", "left_anti")
-    columns = [f"v{j}" for j in range(rounds + 1)]
-    sums = dangling.select(F.lit("lost").alias("k"), *columns).union(state.select(F.lit("all").alias("k"), *columns)).groupBy("k").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in columns])
-    got = {r["k"]: r for r in sums.collect()}
-    if "all" not in got:
+    n = base.count()
+    if n == 0:
         return base.select("rel_file", F.lit(0.0).alias("rank"))
-    n = got["all"]["n"]
-    lost = [got["lost"][c] if "lost" in got else 0.0 for c in columns]
+    weight = out_weight(edge).where("out_weight > 0")
+    step = edge.join(weight, "src").select("src", "dst", (F.col("weight") / F.col("out_weight") * d).alias("share")).repartition("src").persist()
+    sources = settled(step.select(F.col("src").alias("rel_file")).distinct())
+    v = base.select("rel_file", F.lit(1.0).alias("v"))
+    iterates = [v]
+    for _ in range(rounds):
+        v = settled(step.join(v, step["src"] == v["rel_file"]).groupBy(F.col("dst").alias("rel_file")).agg(F.sum(F.col("v") * F.col("share")).alias("v")))
+        iterates.append(v)
+    tagged = reduce(DataFrame.union, [x.select("rel_file", "v", F.lit(j).alias("j")) for j, x in enumerate(iterates)])
+    sums = tagged.join(sources.withColumn("out", F.lit(True)), "rel_file", "left").groupBy("j").agg(F.sum("v").alias("all"), F.sum(F.when(F.col("out").isNull(), F.col("v"))).alias("lost"))
+    got = {r["j"]: r for r in sums.collect()}
+    whole = [(got[j]["all"] or 0.0) if j in got else 0.0 for j in range(rounds + 1)]
+    lost = [(got[j]["lost"] or 0.0) if j in got else 0.0 for j in range(rounds + 1)]
     factor = [1.0 / n]
     for _ in range(rounds):
-        c = (1 - d) / n + d * sum(f * x for f, x in zip(factor, lost, strict=False)) / n
-        factor = [c, *factor]
-    total = sum(f * got["all"][c] for f, c in zip(factor, columns, strict=True))
-    rank = sum((F.col(c) * F.lit(f / total) for f, c in zip(factor, columns, strict=True)), F.lit(0.0))
-    return state.select("rel_file", rank.alias("rank"))
+        factor = [(1 - d) / n + d * sum(f * x for f, x in zip(factor, lost, strict=False)) / n, *factor]
+    total = sum(f * x for f, x in zip(factor, whole, strict=True))
+    scaled = F.get(F.array(*[F.lit(f / total) for f in factor]), F.col("j"))
+    rank = settled(tagged.groupBy("rel_file").agg(F.sum(F.col("v") * scaled).alias("rank")))
+    step.unpersist()
+    return rank
 
 
 def reach(edge: DataFrame, seeds: DataFrame, depth: int = 3, key: list[str] | None = None) -> DataFrame:
