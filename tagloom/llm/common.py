@@ -47,10 +47,40 @@ def stored(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     if keep is not None:
         keep.append(path)
+    if _stage is not None:
+        _of_stage.setdefault(_stage, []).append(path)
     atexit.register(discard, spark, [path])
     return spark.read.schema(df.schema).parquet(path)
 
 
+_stage: str | None = None
+_of_stage: dict[str, list[str]] = {}
+
+
+def begin_stage(spark: SparkSession, name: str, docs: DataFrame | None) -> None:
+    """Tables stored from now on belong to stage ``name``; those of other stages go, unless ``docs`` still reads them."""
+    global _stage
+    _stage = name
+    read = _root_paths(docs) if docs is not None else ""
+    for other in [k for k in _of_stage if k != name]:
+        _of_stage[other] = [p for p in _of_stage[other] if p.rsplit("/", 1)[1] in read or discard(spark, [p])]
+
+
+def end_stage() -> None:
+    global _stage
+    _stage = None
+
+
+def _root_paths(df: DataFrame) -> str:
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    out = []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation":
+            out.append(leaf.relation().location().rootPaths().mkString(","))
+    return ",".join(out)
+
+
 def discard(spark: SparkSession, paths: list[str]) -> None:
     jvm = spark.sparkContext._jvm
     if jvm is None or spark.sparkContext._jsc is None:

@@ -142,13 +142,13 @@ def thresholds(tested: DataFrame, q: float = FALSE_DISCOVERIES) -> dict[int, int
     return out
 
 
-def scan(documents: DataFrame, keep: list[str], q: float = FALSE_DISCOVERIES) -> DataFrame:
-    """``keep`` columns and secrets: all spans as structs (start, o, kind, end), base and added, in order."""
+def scan(documents: DataFrame, keep: list[str], q: float = FALSE_DISCOVERIES, column: str = "secrets") -> DataFrame:
+    """``keep`` columns and ``column``: all spans as structs (start, o, kind, end), base and added, in order."""
     tested = stored(found(documents, keep))
     least = thresholds(tested, q)
     ok = lambda t: (t["b"]["fisher"] >= NOT_RANDOM) & _any([(t["b"]["stratum"] == s) & (_bin(t["b"]["p"]) >= b) for s, b in sorted(least.items())])
     added = F.transform(F.filter("__tested", ok), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("o"), F.lit("random").alias("kind"), t["end"].alias("end")))
-    return tested.select(*keep, "__base", F.array_sort(F.concat("__base", added)).alias("secrets"))
+    return tested.select(*keep, "__base", F.array_sort(F.concat("__base", added)).alias(column))
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -171,7 +171,7 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redacted(documents: DataFrame, mark: str = "[SECRET]", q: float = FALSE_DISCOVERIES) -> DataFrame:
     """The documents with every secret span replaced by ``mark``; n_chars, if there, follows; all other columns stay."""
     names = documents.columns
-    out = scan(documents, names, q)
+    out = scan(documents, names, q, "__secrets")
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def step(a, s):
@@ -179,8 +179,8 @@ def redacted(documents: DataFrame, mark: str = "[SECRET]", q: float = FALSE_DISC
         return F.when(s["end"] <= a["at"], a).otherwise(F.struct(s["end"].alias("at"), F.concat(a["out"], F.when(s["start"] >= a["at"], F.concat(gap, F.lit(mark))).otherwise(F.lit(""))).alias("out")))
 
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    new = F.when(F.size("secrets") > 0, F.aggregate("secrets", first, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))).otherwise(F.col("text"))
-    out = out.select(*[c for c in names if c != "text"], new.alias("text"), F.size("secrets").alias("__n"))
+    new = F.when(F.size("__secrets") > 0, F.aggregate("__secrets", first, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))).otherwise(F.col("text"))
+    out = out.select(*[c for c in names if c != "text"], new.alias("text"), F.size("__secrets").alias("__n"))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("__n") > 0, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*names)

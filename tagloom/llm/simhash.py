@@ -7,8 +7,8 @@ the grid cell (equal coordinates) of the other groups in at least one of the C(G
 held against the Manhattan bound and then against the exact Hamming distance.
 
 Only distinct fingerprints are joined; copies never form pairs.  Cells with more than ``DENSE`` distinct fingerprints
-are linked without pairs: each of their fingerprints is keyed by every r-bit erasure of itself, and equal keys (which
-mean a distance of at most r) are linked to the key's least fingerprint.
+are linked without pairs: two fingerprints lie within r bits exactly if some word lies within floor(r/2) of one and
+ceil(r/2) of the other, so each is keyed by the words about it, and all keyed to a word are linked to one that is near it.
 
 Edge cases: null and empty texts, and texts without words, have fingerprint zero and are linked with each other and
 whatever lies near zero; an empty table gives no rows; a null doc_id is a row of its own kind: its component is the
@@ -122,27 +122,37 @@ def manhattan(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def _ball(radius: int) -> Column:
+    """Every 64-bit mask of at most ``radius`` bits, as an array."""
+    one = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftleft", F.lit(1).cast("bigint"), i))
+    out = F.array(F.lit(0).cast("bigint"))
+    for _ in range(radius):
+        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, lambda m: F.transform(one, lambda x: m.bitwiseXOR(x))))))
+    return out
+
+
 def links(fps: DataFrame, radius: int = 2, groups: int | None = None, dense: int = DENSE) -> DataFrame:
     """Edges (a, b) that connect all distinct fingerprints (column fp) within ``radius`` bits; no pair inside a dense cell."""
     masks = _views(radius, groups or radius + 3)
-    cells = fps.select("fp", embedded(F.col("fp")).alias("e")).select(
-        "fp", "e", F.posexplode(F.array(*[F.col("e").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("view", "cell")
-    )
-    sizes = cells.groupBy("view", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    crowded = cells.join(sizes, ["view", "cell"])
-    sparse = crowded.where(F.col("n") <= dense).select("view", "cell", "fp", "e")
-    other = sparse.select("view", "cell", F.col("fp").alias("fp2"), F.col("e").alias("e2"))
+    e = embedded(F.col("fp"))
+    # a cell's key is a hash of its view and coordinates; what shares a key by chance fails the distance
+    cells = fps.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(v), e.bitwiseAND(F.lit(_signed(m)))) for v, m in enumerate(masks)])).alias("cell"))
+    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    crowded = stored(cells.join(sizes, "cell"))
+    sparse = crowded.where(F.col("n") <= dense).select("cell", "fp")
+    other = sparse.select("cell", F.col("fp").alias("fp2"))
     near = (
-        sparse.join(other, ["view", "cell"]).where(F.col("fp") > F.col("fp2"))
-        .where(manhattan(F.col("e"), F.col("e2")) <= radius)
+        sparse.join(other, "cell").where(F.col("fp") > F.col("fp2"))
+        .where(manhattan(embedded(F.col("fp")), embedded(F.col("fp2"))) <= radius)
         .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius)
         .select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
     )
-    erase = [_signed(((1 << 64) - 1) ^ sum(1 << i for i in c)) for c in combinations(range(64), radius)]
     hot = crowded.where(F.col("n") > dense).select("fp").distinct()
-    keyed = hot.select("fp", F.posexplode(F.transform(F.lit(erase).cast("array<bigint>"), lambda m: F.col("fp").bitwiseAND(m))).alias("view", "cell"))
-    least = keyed.groupBy("view", "cell").agg(F.min("fp").alias("b"), F.max("fp").alias("x")).where("b <> x").select("view", "cell", "b")
-    stars = keyed.join(least, ["view", "cell"]).where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    inner, outer = _ball(radius // 2), _ball(radius - radius // 2)
+    keyed = hot.select("fp", F.explode(F.concat(F.transform(inner, lambda m: F.struct(m.alias("m"), F.lit(True).alias("near"))), F.transform(outer, lambda m: F.struct(m.alias("m"), F.lit(False).alias("near"))))).alias("k"))
+    keyed = keyed.select("fp", F.col("fp").bitwiseXOR(F.col("k.m")).alias("key"), F.col("k.near").alias("near"))
+    hub = keyed.groupBy("key").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("b"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("b IS NOT NULL AND lo <> hi").select("key", "b")
+    stars = keyed.join(hub, "key").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
     return near.union(stars).distinct()
 
 
@@ -183,7 +193,8 @@ def one_of_each(documents: DataFrame, k: int = 5, radius: int = 3, tables: int =
         same = nodes.join(least, nodes[fp] == least["fp"]).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
         pairs = links(least.select("fp"), radius)
         far = pairs.join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        edges = same.union(far) if edges is None else edges.union(same).union(far)
+        found = stored(same.union(far))
+        edges = found if edges is None else edges.union(found)
     root = components(edges)
     owner = nodes.join(root, "node", "left").select(*fps, F.coalesce("root", "node").alias("root"))
     rows = docs.select("__rid", "doc_id", *fps).join(owner, fps)
