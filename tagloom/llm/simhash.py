@@ -10,6 +10,10 @@ Only distinct fingerprints are joined; copies never form pairs.  Cells with more
 are linked without pairs: two fingerprints lie within r bits exactly if some word lies within floor(r/2) of one and
 ceil(r/2) of the other, so each is keyed by the words about it, and all keyed to a word are linked to one that is near it.
 
+The corpus pipeline needs near copies down to a Jaccard similarity of 0.8, where fingerprints are too far apart for any
+such bound.  ``one_of_each`` therefore takes candidates from banded minima of the shingle sets too, and holds every
+candidate against the sets.
+
 Edge cases: null and empty texts, and texts without words, have fingerprint zero and are linked with each other and
 whatever lies near zero; an empty table gives no rows; a null doc_id is a row of its own kind: its component is the
 least non-null id reachable, or null if there is none; repeated rows are kept.
@@ -32,17 +36,16 @@ from .components import components
 
 GROUPS = 5
 DENSE = 400
+BANDS, BAND, UNEQUAL = 20, 5, 25  # a pair at Jaccard 0.8 shares a band with probability 1 - (1 - 0.8**5)**20 = 0.9996
 _EVEN = 0x5555555555555555
 
 
-def fingerprints_of(data: np.ndarray, off: np.ndarray, k: int = 3, tables: int = 1) -> np.ndarray:
-    """64-bit SimHash of each row over the XXH64 (seed 42) of its k-word shingles; further tables mix that hash."""
-    n = len(off) - 1
+def shingles_of(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """XXH64 (seed 42) of all k-word shingles, the rows that have any, and the edges of each such row's run of hashes."""
     low = LOWER[data]
     s, e, row = words(low, off)
-    out = np.zeros((tables, n), np.uint64)
     if not len(s):
-        return out
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1, np.int64)
     # the words of the chunk joined by single spaces, so that a shingle is one slice
     size = e - s
     end = np.cumsum(size + 1) - 1
@@ -67,20 +70,30 @@ def fingerprints_of(data: np.ndarray, off: np.ndarray, k: int = 3, tables: int =
         begin, stop = begin[order], stop[order]
     digest = xxhash.xxh64_intdigest
     owner = row[begin]
-    ones = (1 << np.arange(64, dtype=np.uint64)).astype(np.uint64)
     a, b = start[begin].tolist(), end[stop].tolist()
     cuts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
     edges = np.r_[cuts, len(owner)]
     h = np.fromiter((digest(raw[i:j], 42) for i, j in zip(a, b, strict=True)), np.uint64, len(a))
+    return h, owner[cuts], edges
+
+
+def fingerprints_of(data: np.ndarray, off: np.ndarray, k: int = 3, tables: int = 1) -> np.ndarray:
+    """64-bit SimHash of each row over the XXH64 (seed 42) of its k-word shingles; further tables mix that hash."""
+    return _fingerprints(*shingles_of(data, off, k), len(off) - 1, tables)
+
+
+def _fingerprints(h: np.ndarray, rows: np.ndarray, edges: np.ndarray, n: int, tables: int) -> np.ndarray:
+    out = np.zeros((tables, n), np.uint64)
+    ones = (1 << np.arange(64, dtype=np.uint64)).astype(np.uint64)
     step = 1 << 16
     for j in range(tables):
         hj = mix(h + np.uint64(j * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if j else h
-        for lo in range(len(cuts)):
+        for lo in range(len(rows)):
             x, y = edges[lo], edges[lo + 1]
             bits = np.zeros(64, np.int64)
             for at in range(x, y, step):
                 bits += np.unpackbits(hj[at : min(y, at + step)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-            out[j, owner[x]] = ones[bits * 2 > y - x].sum(dtype=np.uint64)
+            out[j, rows[lo]] = ones[bits * 2 > y - x].sum(dtype=np.uint64)
     return out
 
 
@@ -178,40 +191,112 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each(documents: DataFrame, k: int = 5, radius: int = 3, tables: int = 3) -> DataFrame:
     """One document (least doc_id) of each group of near copies; all columns.
 
-    Documents are linked where one of ``tables`` independent fingerprints of their ``k``-word shingles lies within
-    ``radius`` bits: 3 of 64 bits stand for a cosine of 0.989, so every link is well above a similarity of 0.8, and
-    several fingerprints find what one misses by chance.
+    Two documents are near copies if the Jaccard similarity of their sets of ``k``-word shingles is 0.8 or more, and
+    groups are what chains of near copies connect.  Candidates share one of ``BANDS`` bands of ``BAND`` minima, or lie
+    within ``radius`` bits in one of ``tables`` fingerprints; each is held against the sets themselves.
     """
     names = documents.columns
-    sketched = with_fingerprints(documents.withColumn("__rid", F.monotonically_increasing_id()), k, tables)
-    docs = stored(sketched)  # row numbers are fixed here
+    docs = stored(_sketched(documents.withColumn("__rid", F.monotonically_increasing_id()), k, tables))  # row numbers are fixed here
     fps = [f"__fp{j}" for j in range(tables)]
-    nodes = stored(docs.groupBy(*fps).agg(F.min("__rid").alias("node")))
-    edges = None
+    held = ["n", "m0", "m1"]
+    nodes = stored(docs.groupBy("__d0", "__d1").agg(F.min("__rid").alias("node"), *[F.first(f"__{c}").alias(c) for c in held], *[F.first(c).alias(c) for c in fps], F.first("__bands").alias("bands")))
+    one = F.struct("node", *held)
+    members = nodes.select(F.explode("bands").alias("key"), one.alias("x"))
+    crowded = stored(members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "key"))
+    near = None
     for fp in fps:
-        least = stored(nodes.groupBy(F.col(fp).alias("fp")).agg(F.min("node").alias("least")))
-        same = nodes.join(least, nodes[fp] == least["fp"]).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+        # of equal fingerprints the first stands for all
+        least = stored(nodes.groupBy(F.col(fp).alias("fp")).agg(F.min(one).alias("x")))
+        same = nodes.join(least, nodes[fp] == least["fp"]).select(one.alias("x"), F.col("x").alias("y"))
         pairs = links(least.select("fp"), radius)
-        far = pairs.join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        found = stored(same.union(far))
-        edges = found if edges is None else edges.union(found)
-    root = components(edges)
-    owner = nodes.join(root, "node", "left").select(*fps, F.coalesce("root", "node").alias("root"))
-    rows = docs.select("__rid", "doc_id", *fps).join(owner, fps)
+        far = pairs.join(least.select(F.col("fp").alias("a"), "x"), "a").join(least.select(F.col("fp").alias("b"), F.col("x").alias("y")), "b").select("x", "y")
+        found = stored(_alike(same.union(far)))
+        near = found if near is None else near.union(found)
+    ids = crowded.select("x.node").union(near.select(F.col("a").alias("node"))).union(near.select(F.col("b").alias("node"))).distinct()
+    sets = stored(_sets(docs.select(F.col("__rid").alias("node"), "text").join(ids, "node", "left_semi"), k))
+    # first each band's documents against two of them, then all that this leaves apart against each other
+    at = F.struct(F.xxhash64("key", "x.node").alias("at"), "x")
+    hubs = crowded.groupBy("key").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).select("key", F.explode(F.array("lo.x", "hi.x")).alias("y"))
+    edges = stored(_verified(_alike(crowded.join(hubs, "key").select("x", "y")).union(near).distinct(), sets))
+    root = stored(components(edges))
+    placed = stored(crowded.join(root.select(F.col("node").alias("__node"), "root"), F.col("x.node") == F.col("__node"), "left").select("key", "x", F.coalesce("root", "x.node").alias("root")))
+    open_ = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    left = stored(placed.join(open_, "key"))
+    other = left.select("key", F.col("x").alias("y"), F.col("root").alias("root2"))
+    rest = stored(_alike(left.join(other, "key").where("root < root2").select("x", "y")).distinct())
+    root = components(edges.union(_verified(rest, sets)))
+    owner = nodes.join(root, "node", "left").select("__d0", "__d1", F.coalesce("root", "node").alias("root"))
+    rows = docs.select("__rid", "doc_id", "__d0", "__d1").join(owner, ["__d0", "__d1"])
     kept = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__rid").alias("r"))).alias("m")).select(F.col("m.r").alias("__rid"))
     return docs.join(kept, "__rid", "left_semi").select(*names)
 
 
-def with_fingerprints(documents: DataFrame, k: int, tables: int) -> DataFrame:
-    """``documents`` with ``tables`` fingerprints __fp0, __fp1, ... of independent hashes."""
+def _alike(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of those of x and y whose set sizes allow a Jaccard similarity of 0.8 and whose minima do not speak against it.
+
+    Of the ``BANDS * BAND`` lowest bits of minima a pair at 0.8 has a tenth unequal (10 of 100, deviation 3); 25 pass.
+    """
+    unequal = F.bit_count(F.col("x.m0").bitwiseXOR(F.col("y.m0"))) + F.bit_count(F.col("x.m1").bitwiseXOR(F.col("y.m1")))
+    sizes = F.least("x.n", "y.n") * 5 >= F.greatest("x.n", "y.n") * 4
+    return pairs.where(F.col("x.node") != F.col("y.node")).where(sizes & (unequal <= UNEQUAL)).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of 0.8 or more, in whole numbers: 9 |A and B| >= 4 (|A| + |B|)."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+    return both.where(F.size(F.array_intersect("sa", "sb")) * 9 >= (F.size("sa") + F.size("sb")) * 4).select("a", "b")
+
+
+def _sets(documents: DataFrame, k: int) -> DataFrame:
+    """node and its set of shingle hashes; texts come one by one, so that no batch of sets is larger than a chunk's."""
+
+    def run(batches):
+        for batch in batches:
+            for part, data, off in chunks(batch):
+                h, rows, edges = shingles_of(data, off, k)
+                sets: list = [np.zeros(0, np.uint64)] * part.num_rows
+                for i, row in enumerate(rows):
+                    sets[row] = np.unique(h[edges[i] : edges[i + 1]])
+                flat = pa.array(np.concatenate(sets).view(np.int64))
+                ends = np.cumsum([0, *[len(x) for x in sets]])
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("node")), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["node", "set"])
+
+    return documents.mapInArrow(run, "node bigint, set array<bigint>")
+
+
+def _sketched(documents: DataFrame, k: int, tables: int) -> DataFrame:
+    """``documents`` with fingerprints __fp0, ..., and of the set of shingles: size __n, digest __d0 and __d1, lowest bits of the minima __m0 and __m1, keys of the bands."""
     schema = documents.schema
-    for j in range(tables):
-        schema = with_field(schema, f"__fp{j}", "bigint")
+    added = [*[f"__fp{j}" for j in range(tables)], "__n", "__d0", "__d1", "__m0", "__m1"]
+    for name in added:
+        schema = with_field(schema, name, "bigint")
+    schema = with_field(schema, "__bands", "array<bigint>")
+    total = BANDS * BAND
+    salt = mix(np.arange(1, 2 * total + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def run(batches):
         for batch in batches:
             for part, data, off in chunks(batch):
-                fp = fingerprints_of(data, off, k, tables)
-                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(x.view(np.int64)) for x in fp]], schema.names)
+                n = part.num_rows
+                h, rows, edges = shingles_of(data, off, k)
+                fp = _fingerprints(h, rows, edges, n, tables)
+                numbers = np.zeros((5, n), np.uint64)
+                keys = np.zeros((len(rows), BANDS), np.uint64)
+                if len(rows):
+                    sets = [np.unique(h[edges[i] : edges[i + 1]]) for i in range(len(rows))]
+                    size = np.array([len(x) for x in sets])
+                    first = np.cumsum(size) - size
+                    h = np.concatenate(sets)
+                    numbers[0, rows] = size
+                    for j in range(2):
+                        numbers[1 + j, rows] = np.add.reduceat(mix(h ^ salt[j]), first)
+                    for j in range(total):
+                        least = mix(np.minimum.reduceat((h ^ salt[j]) * (salt[total + j] | np.uint64(1)), first))
+                        numbers[3 + j // 64, rows] |= (least & np.uint64(1)) << np.uint64(j % 64)
+                        keys[:, j // BAND] = mix(keys[:, j // BAND] + least + np.uint64(j))
+                has = np.zeros(n, np.int64)
+                has[rows] = BANDS
+                bands = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(has)], pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(x.view(np.int64)) for x in [*fp, *numbers]], bands], schema.names)
 
     return documents.mapInArrow(run, schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -135,6 +136,32 @@ def test_one_of_each_keeps_one_and_all_columns(docs, empty):
     assert simhash.one_of_each(empty).count() == 0
 
 
+def test_one_of_each_reaches_what_brute_force_reaches_at_08(spark):
+    rng, texts = random.Random(8), []
+    for i in range(60):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(80, 300))]
+        texts.append(" ".join(base))
+        for _ in range(rng.randrange(1, 5)):
+            w = list(base)
+            for _ in range(rng.randrange(1, 1 + len(w) // 30)):
+                w[rng.randrange(len(w))] = "changed"
+            texts.append(" ".join(w))
+    passage = " ".join(f"p{i}" for i in range(90))
+    texts += [passage + " " + " ".join(f"q{rng.randrange(5000)}" for _ in range(30)) for _ in range(60)]  # about 0.6 of each other
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root, pairs = list(range(len(texts))), Counter()
+    for i, a in enumerate(sets):
+        for j in range(i):
+            similar = len(a & sets[j]) / len(a | sets[j])
+            if similar >= 0.8:
+                pairs[min(int(similar * 20), 19)] += 1
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    assert min(pairs[16], pairs[17], pairs[18]) >= 10  # 0.80 to 0.95
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r["doc_id"] for r in simhash.one_of_each(frame).select("doc_id").collect()} == set(root)
+
+
 # ---------------------------------------------------------------- 3 secrets
 
 
