@@ -89,9 +89,9 @@ def dc3_unexported(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.tags(spark, sf_dir).select("rel_file", "line", C.unexported(F.col("name"), F.col("lang")).alias("unexported"))
 
 
-@query("SELECT doc_id, regexp_replace(replace(lower(substr(text, 1, 80)), ' ', '-'), '[^a-z0-9-]', '', 'g') AS slug FROM documents")
+@query("SELECT doc_id, regexp_replace(replace(lower(text), ' ', '-'), '[^a-z0-9-]', '', 'g') AS slug FROM documents")
 def g1_slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.table(spark, sf_dir, "documents").select("doc_id", C.slug(F.substring("text", 1, 80)).alias("slug"))
+    return A.table(spark, sf_dir, "documents").select("doc_id", C.slug(F.col("text")).alias("slug"))
 
 
 @query("SELECT rel_file, line, CASE WHEN lang = 'md' AND kind <> 'ref' THEN rel_file || '#' || regexp_replace(replace(lower(name), ' ', '-'), '[^a-z0-9-]', '', 'g') ELSE name END AS key FROM tags", A.TAGS)

@@ -189,3 +189,23 @@ def test_go_typescript_and_markdown_tags():
     assert {"Other", "W", "first", "calc", "Foo", "Bar", "helper", "x"} <= {n for _, _, n, k in ts if k == "ref"}
     md = extract("# Top\n\n```\n# no\n```\n## Sub ##\n[t](a/b.md) ![i](x.png) [[W]]\n", "markdown")
     assert [(n, k, line) for line, _, n, k in md] == [("Top", "heading-1", 1), ("Sub", "heading-2", 6), ("a/b.md", "ref", 7), ("W", "ref", 7)]
+
+
+def registered(spark, tmp_path, name, texts):
+    """Rows of a query on documents of these texts; those of its SQL must be the same."""
+    import duckdb
+
+    from tagloom.plans import registry
+
+    path = f"{tmp_path}/documents.parquet"
+    docs = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id bigint, text string, source string")
+    docs.coalesce(1).write.parquet(path)
+    got = sorted(tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    assert got == sorted(con.execute(registry.ORACLE_SQL[name]).fetchall())
+    return got
+
+
+def test_g1_slug_of_whole_texts(spark, tmp_path):
+    assert registered(spark, tmp_path, "g1_slugify", ["A b" * 100, "Short é"]) == [(0, "a-b" * 100), (1, "short-")]
