@@ -177,9 +177,9 @@ def budget(asked: Column, default: int, most: int = 8000) -> Column:
 
 
 def clip(text: Column, most: int = 160) -> Column:
-    """A line as answers show it: trimmed, tabs as spaces, cut at ``most`` bytes."""
+    """A line as answers show it: trimmed, tabs as spaces, cut at ``most`` bytes; a character that the cut breaks is one U+FFFD."""
     t = F.replace(strip(text), F.lit("\t"), F.lit(" "))
-    cut = F.decode(F.substring(F.encode(t, "UTF-8"), 1, most), "UTF-8")
+    cut = F.make_valid_utf8(F.substring(F.encode(t, "UTF-8"), 1, most).cast("string"))
     return F.when(F.octet_length(t) > most, F.concat(cut, F.lit("…"))).otherwise(t)
 
 

@@ -414,17 +414,18 @@ def ca4_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return callers.mentions(tags, ls, "the").where("NOT hidden").select("rel_file", "line")
 
 
-_CLIPPED = "CASE WHEN strlen(t) > 160 THEN left(t, 160) || '…' ELSE t END"
+# 160 bytes; a character that the cut breaks is one U+FFFD
+_BYTES = "encode(t)[1:{}]"
+_CLIPPED = "CASE WHEN strlen(t) > 160 THEN coalesce(try(decode(" + _BYTES.format(160) + ")), " + ", ".join(f"try(decode({_BYTES.format(160 - i)})) || chr(65533)" for i in (1, 2, 3)) + ") || '…' ELSE t END"
+_BLANK = r"[\s\x{0B}\x{85}\p{Z}]+"
 
 
-@query(f"SELECT rel_file, line, {_CLIPPED} AS text FROM (SELECT rel_file, line, regexp_replace(replace(regexp_replace(text, '^\\s+', ''), chr(9), ' '), '\\s+$', '') AS t FROM lines WHERE regexp_matches(text, '(^|[^A-Za-z0-9_])token($|[^A-Za-z0-9_])')) WHERE strlen(t) = length(t)", A.LINES)
+@query(f"SELECT rel_file, line, {_CLIPPED} AS text FROM (SELECT rel_file, line, replace(regexp_replace(regexp_replace(text, '^{_BLANK}', ''), '{_BLANK}$', ''), chr(9), ' ') AS t FROM lines WHERE regexp_matches(text, '(^|[^A-Za-z0-9_])token($|[^A-Za-z0-9_])'))", A.LINES)
 def ca5_ca6_text_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     ls = A.lines(spark, sf_dir)
     files = A.table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("rel_file"), F.octet_length("text").alias("size"))
     none = A.tags(spark, sf_dir).where("false")
-    hits = callers.text_sites(none, files, ls, "token")
-    ascii_ = hits.join(ls.select("rel_file", "line", F.col("text").alias("raw")), ["rel_file", "line"]).where(F.octet_length("raw") == F.length("raw"))
-    return ascii_.select("rel_file", "line", "text")
+    return callers.text_sites(none, files, ls, "token").select("rel_file", "line", "text")
 
 
 _DEEP = f"""lv1 AS (SELECT DISTINCT t.rel_file, t.line, s.fn_name, s.scope FROM tags t LEFT JOIN scope s USING (rel_file, line) WHERE t.kind = 'ref' AND t.name = '{_SYMBOL}' AND NOT {_test_of('t.rel_file')}),

@@ -209,3 +209,15 @@ def registered(spark, tmp_path, name, texts):
 
 def test_g1_slug_of_whole_texts(spark, tmp_path):
     assert registered(spark, tmp_path, "g1_slugify", ["A b" * 100, "Short é"]) == [(0, "a-b" * 100), (1, "short-")]
+
+
+def test_ca5_text_sites_with_other_languages(spark, tmp_path):
+    from tagloom.plans import adapters
+
+    texts = ["é token\nno\n\u3000token\tß\u00a0", "token " + "x" * 153 + "€uro", "token " + "x" * 152 + "😀", "token " + "é" * 77 + "é"]
+    tags, adapters.tags = adapters.tags, lambda spark, sf_dir: spark.createDataFrame([], "rel_file string")  # the query takes none of them
+    try:
+        got = registered(spark, tmp_path, "ca5_ca6_text_sites", texts)
+    finally:
+        adapters.tags = tags
+    assert got == [("a/0.txt", 1, "é token"), ("a/0.txt", 3, "token ß"), ("a/1.txt", 1, "token " + "x" * 153 + "\ufffd…"), ("a/2.txt", 1, "token " + "x" * 152 + "\ufffd…"), ("a/3.txt", 1, "token " + "é" * 77 + "…")]
