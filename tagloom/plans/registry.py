@@ -446,10 +446,10 @@ def ca10_caller_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.select("rel_file", "line", callers.caller_name(F.col("fn_name"), F.col("scope")).alias("caller"))
 
 
-@query("SELECT rel_file, site, l.line, CASE WHEN l.line = site THEN '>' ELSE ' ' END AS mark FROM (SELECT rel_file, line AS site FROM lines WHERE line = 2) s JOIN lines l USING (rel_file) WHERE l.line BETWEEN site - 1 AND site + 1", A.LINES)
+@query("SELECT rel_file, site, l.line, CASE WHEN l.line = site THEN '>' ELSE ' ' END AS mark FROM (SELECT rel_file, line AS site FROM lines) s JOIN lines l USING (rel_file) WHERE l.line BETWEEN site - 1 AND site + 1", A.LINES)
 def ca11_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     ls = A.lines(spark, sf_dir)
-    return callers.with_context(ls.where("line = 2"), ls, 1).select("rel_file", "site", "line", "mark")
+    return callers.with_context(ls, ls, 1).select("rel_file", "site", "line", "mark")
 
 
 @query("SELECT rel_file, line, CASE WHEN end_line > line THEN line || '-' || end_line ELSE line::VARCHAR END AS span FROM tags", A.TAGS)

@@ -221,3 +221,9 @@ def test_ca5_text_sites_with_other_languages(spark, tmp_path):
     finally:
         adapters.tags = tags
     assert got == [("a/0.txt", 1, "é token"), ("a/0.txt", 3, "token ß"), ("a/1.txt", 1, "token " + "x" * 153 + "\ufffd…"), ("a/2.txt", 1, "token " + "x" * 152 + "\ufffd…"), ("a/3.txt", 1, "token " + "é" * 77 + "…")]
+
+
+def test_ca11_context_of_every_line(spark, tmp_path):
+    got = registered(spark, tmp_path, "ca11_context", ["a\nb\nc\nd", "one"])
+    assert [(f, s, n) for f, s, n, m in got if m == " "] == [("a/0.txt", 1, 2), ("a/0.txt", 2, 1), ("a/0.txt", 2, 3), ("a/0.txt", 3, 2), ("a/0.txt", 3, 4), ("a/0.txt", 4, 3)]
+    assert [(f, s, n) for f, s, n, m in got if m == ">"] == [("a/0.txt", n, n) for n in (1, 2, 3, 4)] + [("a/1.txt", 1, 1)]
