@@ -1,27 +1,27 @@
-"""Removal of repeated passages: a hash-compared suffix sort over content-chosen candidates.
+"""Removal of repeated passages: a hash-compared suffix sort over anchored stretches.
 
 A byte goes if it lies in a string of ``WINDOW`` bytes that also starts earlier (smaller doc_id, or the same document and an
-earlier start).  Sorting all suffixes of a corpus would shuffle every byte many times over, so candidates are chosen first:
-
-1. *Anchors.*  Each window's anchor is its leftmost ``GRAM``-byte substring of least hash, so equal windows have equal anchors
-   at equal offsets.  Neighbouring windows share their anchor; such a run, about 39 windows, is one row: the anchor's key, a hash of
-   the run's bytes and its place.  Equal runs of one chunk are folded to the first before anything is shuffled.
-2. *Runs.*  By anchor key, equal runs are repeats of the first of them as a whole.  The firsts of one anchor that differ
-   (where a shared passage begins or ends, or a copy was edited) may still share some windows.  Windows are classed by their
-   anchor's place in quarters; all windows of a class hold the same 81 bytes about the anchor, whose hash goes with the run.
-   Only where two firsts agree on a class's hash do their windows of that class go on.
-3. *Suffix sort.*  The suffixes at those windows' starts are sorted, within equal first 16 bytes, by mergesort: prefix polynomial
-   hashes and a binary search give the common extension of two suffixes, and so their order, in a logarithmic number of steps.
-   Neighbours with a common extension of a window are compared byte by byte before they count as equal.
-4. *Merge.*  The first of each class of equal windows of a bucket is dealt by a hash of its bytes, to find its
-   equals in other buckets.
-
-Texts travel compressed, packed by document bucket.  No step's task holds more than its bucket's share: a passage in a third of
-all documents is folded in each chunk (2), and the windows about it are dealt by their own content (4).
-
-Edge cases: null and empty texts have no bytes and the hash of nothing; texts under ``WINDOW`` bytes are kept whole; null ids
-come after all others; rows of one doc_id count as one document at equal places (a fully repeated row is not
-a repeat of itself, each row is returned); an empty table gives no rows.
+earlier start).
+
+1. *Anchors.*  Each window's anchor is its leftmost ``GRAM``-byte substring of least hash, so equal windows have equal anchors at
+   equal offsets.  Neighbouring windows share their anchor; such a run, about 39 windows, is one stretch of bytes.
+2. *Suffix sort.*  Of the stretches of one anchor, those of one length are compared whole: the suffixes at their starts are put
+   in order by mergesort, in which prefix polynomial hashes and a binary search give the common extension of two suffixes and so
+   their order in a logarithmic number of steps.  Neighbours whose extension covers the stretch are equal once their bytes have
+   been compared too.  Stretches that differ (where a shared passage begins or ends, or a copy was edited) may still share
+   windows: their windows are classed by the anchor's place in quarters, all windows of a class hold the same 81 bytes about
+   the anchor, and where two stretches agree on these, the suffixes at the windows of that class are sorted and compared likewise.
+   All equal strings but the first (least document, then place) are repeats.
+3. *Twice.*  The sort runs on each chunk of a partition first, so that a passage in a third of all documents leaves a chunk
+   once.  What is first in its chunk is dealt with its bytes by a hash of its anchor, and sorted again there; the repeats are sent
+   back to their documents as notes.
+
+Hashes only bring candidates together and order them; what is removed has been compared byte by byte.  A task holds its
+bucket's share, at most one copy of a stretch from each chunk; sorting buffers are cut at whole anchors (``SORT_BYTES``).
+
+``doc_id`` must be of an integer type.  Edge cases: null and empty texts have no bytes and the hash of nothing; texts under
+``WINDOW`` bytes are kept whole; null ids come after all others and are one document; rows of one doc_id count as one document
+at equal places (a fully repeated row is not a repeat of itself, each row is returned); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Spans, chunks, mix, partitions, powers, stored, table
+from .common import Spans, chunks, mix, partitions, powers, table
 
 WINDOW = 100
 GRAM = 24
@@ -43,70 +43,73 @@ CLASSES = 4
 STEP = (WINDOW - GRAM) // CLASSES  # places of the anchor in a window, cut into classes
 BLOCK = 1 << 18
 CHUNK = 8 << 20
-BUCKET_BYTES = 48 << 20
+STRETCHES = 300_000  # of one sort within a chunk
+SORT_BYTES = 16 << 20
+BUCKET_BYTES = 32 << 20
 _PLACE = np.uint64((1 << 28) - 1)
-_NULL = (1 << 63) - 1
 
-RUN = np.dtype([("a", "<u4"), ("u", "<u8"), ("q", "<u2", (CLASSES,)), ("d", "<i8"), ("p", "<u4"), ("nv", "<u4"), ("o", "u1")])
-NOTE = np.dtype([("d", "<i8"), ("nv", "<u4"), ("p", "<u4"), ("ask", "u1")])
-REP = np.dtype([("w", "<u8"), ("x", "<u4"), ("d", "<i8"), ("v", "<u4"), ("p", "<u4")])
+# d: id, z: null id, v: hash of the whole text, p: place, n: windows, o: place of the anchor in the stretch
+ROW = np.dtype([("d", "<i8"), ("v", "<u8"), ("p", "<u4"), ("n", "u1"), ("o", "u1"), ("z", "u1")])
+NOTE = np.dtype([("d", "<i8"), ("v", "<u8"), ("p", "<u4"), ("n", "<u4"), ("z", "u1")])
 
 
-def _ids(part: pa.RecordBatch) -> np.ndarray:
-    return part.column("doc_id").cast(pa.int64()).fill_null(_NULL).to_numpy(zero_copy_only=False)
+def _ids(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    column = part.column("doc_id")
+    return column.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), column.is_null().to_numpy(zero_copy_only=False)
 
 
 def _versions(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """25 bits of each text's hash: tells rows of one doc_id apart."""
+    """A hash of each text: tells rows of one doc_id apart."""
     raw = memoryview(data)
-    return np.fromiter((xxhash.xxh3_64_intdigest(raw[off[i] : off[i + 1]]) & 0x1FFFFFF for i in range(len(off) - 1)), np.uint32, len(off) - 1)
+    return np.fromiter((xxhash.xxh3_64_intdigest(raw[off[i] : off[i + 1]]) for i in range(len(off) - 1)), np.uint64, len(off) - 1)
 
 
 def _dealt(key: np.ndarray, n: int) -> np.ndarray:
     return (mix(key.astype(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(n)).astype(np.int64)
 
 
-def _pack(rows: np.ndarray) -> bytes:
-    """Rows by document and place, column by column, ids and places as differences, compressed."""
-    rows = rows[np.lexsort((rows["p"], rows["d"]))]
+def _pack(rows: np.ndarray, tail: bytes = b"") -> bytes:
+    """Rows column by column, ids and places as differences, and the bytes that follow, compressed."""
     parts = [np.diff(rows[f], prepend=rows[f].dtype.type(0)) if f in ("d", "p") else rows[f] for f in rows.dtype.names]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(x).tobytes() for x in parts))
+    return zstandard.ZstdCompressor(level=1).compress(len(rows).to_bytes(8, "little") + b"".join(np.ascontiguousarray(x).tobytes() for x in parts) + tail)
 
 
-def _unpack(raw: bytes, kind: np.dtype) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(raw)
-    out = np.zeros(len(raw) // kind.itemsize, kind)
-    at = 0
+def _unpack(raw: bytes, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    out = np.zeros(int(raw[:8].view(np.int64)[0]), kind)
+    at = 8
     for f in kind.names:
         size = kind[f].itemsize * len(out)
-        own = np.frombuffer(raw[at : at + size], kind[f].base).reshape(out[f].shape)
+        own = np.frombuffer(raw[at : at + size].tobytes(), kind[f])
         out[f] = np.cumsum(own, dtype=own.dtype) if f in ("d", "p") else own
         at += size
-    return out
+    return out, raw[at:]
 
 
-def _packed(bucket: np.ndarray, rows: np.ndarray):
-    """(bucket, bytes) of each bucket's rows."""
-    order = np.argsort(bucket, kind="stable")
-    b, rows = bucket[order], rows[order]
+def _by_bucket(bucket: np.ndarray, rows: np.ndarray):
+    """(bucket, numbers of its rows by document and place) of each bucket."""
+    order = np.lexsort((rows["p"], rows["v"], rows["d"], bucket))
+    b = bucket[order]
     cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
-    ends = np.r_[cut[1:], len(b)]
-    return [int(b[i]) for i in cut], [_pack(rows[i:j]) for i, j in zip(cut, ends, strict=False)]
+    for i, j in zip(cut, np.r_[cut[1:], len(b)], strict=False):
+        yield int(b[i]), order[i:j]
+
+
+def _bytes_of(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of ``data`` one after another."""
+    return data[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
 
 
 def runs_of(data: np.ndarray, off: np.ndarray):
-    """Anchor key, bytes hash, row, place in the row and number of windows of each run, block by block."""
+    """Row, place in the data, number of windows and place of the anchor in the run of each run, block by block."""
     span = WINDOW - GRAM + 1
     for b0 in range(0, len(data), BLOCK):
         part = data[b0 : min(len(data), b0 + BLOCK + WINDOW - 1)]
         starts = min(BLOCK, len(data) - b0)
         if len(part) < WINDOW:
             continue
-        grams = len(part) - GRAM + 1
-        at = np.arange(grams)
-        side = Spans(part)
-        hashes = side(at, at + GRAM)
-        least = (hashes & ~_PLACE) | at.astype(np.uint64)
+        at = np.arange(len(part) - GRAM + 1)
+        least = (Spans(part)(at, at + GRAM) & ~_PLACE) | at.astype(np.uint64)
         width = 1
         while width * 2 <= span:
             least = np.minimum(least[:-width], least[width:])
@@ -120,151 +123,15 @@ def runs_of(data: np.ndarray, off: np.ndarray):
         anchor = (least[s] & _PLACE).astype(np.int64)
         first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (s[1:] != s[:-1] + 1)])
         last = np.r_[first[1:], len(s)] - 1
-        raw = part.tobytes()
-        lo, hi = s[first], s[last] + WINDOW
-        digest = xxhash.xxh3_64_intdigest
-        u = np.fromiter((digest(raw[i:j]) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)), np.uint64, len(lo))
-        r = np.searchsorted(off, lo + b0, side="right") - 1
-        at = anchor[first]
-        quarters = np.zeros((len(at), CLASSES), np.uint16)  # 0: no window of the class
-        for c in range(CLASSES):
-            from_, many = _class(c, lo, last - first + 1, at - lo)
-            ok = np.flatnonzero(many > 0)
-            begin = at[ok] - c * STEP
-            quarters[ok, c] = (side(begin, begin + WINDOW - STEP, 3 + c) >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
-        yield hashes[at], u, r, lo + b0 - off[r], (last - first + 1), quarters, at - lo
-
-
-def _class(c: int, lo, n, o):
-    """First window and number of windows of class c of runs of n windows from lo on, whose anchor is at lo + o."""
-    far = o - (WINDOW - GRAM if c == CLASSES - 1 else c * STEP + STEP - 1)  # window of the class with the anchor farthest in
-    first = np.maximum(far, 0)
-    return lo + first, np.minimum(n - 1, o - c * STEP) - first + 1
-
-
-def _anchors(buckets: int, docs: int):
-    """Rows of runs by anchor bucket, and with them notes of runs that are repeats within the chunk, by document bucket."""
-
-    def run(batches):
-        for batch in batches:
-            for part, data, off in chunks(batch, limit=CHUNK):
-                ids, ver = _ids(part), _versions(data, off)
-                got = [np.concatenate(x) for x in zip(*runs_of(data, off), strict=True)]
-                if not got:
-                    continue
-                a, u, r, p, n, quarters, o = got
-                out = np.zeros(len(a), RUN)
-                out["a"], out["u"], out["d"], out["p"] = (a >> np.uint64(32)).astype(np.uint32), u, ids[r], p
-                out["q"], out["o"] = quarters, o
-                out["nv"] = n.astype(np.uint32) | (ver[r] << np.uint32(7))
-                order = np.lexsort((out["p"], out["d"], out["u"]))
-                out, a = out[order], a[order]
-                head = np.r_[True, out["u"][1:] != out["u"][:-1]]
-                which = np.flatnonzero(head)[np.cumsum(head) - 1]
-                later = ~head & ((out["d"] != out["d"][which]) | (out["p"] != out["p"][which]))
-                b, rows = _packed((a[~later] % np.uint64(buckets)).astype(np.int64), out[~later])
-                nb, notes = _packed(_dealt(out["d"][later], docs), _notes(out[later], 0))
-                yield pa.RecordBatch.from_arrays([pa.array([-1] * len(b) + nb, pa.int64()), pa.array(b + [x % buckets for x in nb], pa.int64()), pa.array(rows + notes, pa.binary())], ["to", "bucket", "rows"])
-
-    return run
-
-
-def _notes(rows: np.ndarray, ask: int) -> np.ndarray:
-    out = np.zeros(len(rows), NOTE)
-    out["d"], out["nv"], out["p"], out["ask"] = rows["d"], rows["nv"], rows["p"], ask
-    return out
-
-
-def _gather(t: pa.Table, kind: np.dtype) -> np.ndarray:
-    parts = [_unpack(x, kind) for x in t.column("rows").to_pylist()] if t.num_rows else []
-    return np.concatenate(parts) if parts else np.zeros(0, kind)
-
-
-def _resolve_runs(docs: int):
-    """Equal runs after the first: repeats.  Firsts that agree with another on one side of the anchor: asked."""
-
-    def run(t: pa.Table) -> pa.Table:
-        to = t.column("to").to_numpy()
-        x = _gather(t.filter(pa.array(to < 0)), RUN)
-        passed = t.filter(pa.array(to >= 0))
-        x = x[np.lexsort((x["p"], x["d"], x["u"], x["a"]))]
-        new_a = np.r_[True, x["a"][1:] != x["a"][:-1]][: len(x)]
-        head = (new_a | np.r_[True, x["u"][1:] != x["u"][:-1]][: len(x)]) if len(x) else new_a
-        which = np.flatnonzero(head)[np.cumsum(head) - 1]
-        later = (x["d"] != x["d"][which]) | (x["p"] != x["p"][which])
-        # firsts, and fully repeated rows, which share the place of a first
-        first = np.flatnonzero(~later)
-        out = [_notes(x[later], 0)]
-        for c in range(CLASSES):
-            own = first[x["q"][first, c] > 0]
-            key = (x["a"][own].astype(np.uint64) << np.uint64(16)) | x["q"][own, c]
-            order = np.argsort(key, kind="stable")
-            own, key = own[order], key[order]
-            if not len(own):
-                continue
-            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            group = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(key)]))
-            own = own[np.bincount(group, weights=head[own])[group] > 1]
-            rows = x[own]
-            from_, many = _class(c, rows["p"].astype(np.int64), (rows["nv"] & np.uint32(127)).astype(np.int64), rows["o"].astype(np.int64))
-            note = _notes(rows, 1)
-            note["p"], note["nv"] = from_, (rows["nv"] & ~np.uint32(127)) | many.astype(np.uint32)
-            out.append(note)
-        notes = np.concatenate(out)
-        b, rows = _packed(_dealt(notes["d"], docs), notes)
-        return pa.table({"bucket": pa.array(b + passed.column("to").to_pylist(), pa.int64()), "rows": pa.array(rows + passed.column("rows").to_pylist(), pa.binary())})
-
-    return run
-
-
-def _pack_texts(docs: int):
-    """Texts of a chunk by document bucket, compressed together."""
-
-    def run(batches):
-        press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            for part, data, off in chunks(batch, limit=CHUNK):
-                ids, ver = _ids(part), _versions(data, off)
-                bucket = _dealt(ids, docs)
-                out = []
-                for b in np.unique(bucket).tolist():
-                    at = np.flatnonzero(bucket == b)
-                    blob = b"".join(data[off[i] : off[i + 1]].tobytes() for i in at)
-                    out.append((b, ids[at], ver[at].astype(np.int64), (off[at + 1] - off[at]), press.compress(blob)))
-                a = list(zip(*out, strict=True)) if out else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(a[0], pa.int64()), *[pa.array(a[i], pa.list_(pa.int64())) for i in (1, 2, 3)], pa.array(a[4], pa.binary())], ["bucket", "ids", "vers", "sizes", "blob"])
-
-    return run
-
-
-def _texts(t: pa.Table):
-    """Bytes, offsets, ids and versions of all documents of a bucket."""
-    ids, vers, sizes, parts = [], [], [], []
-    open_ = zstandard.ZstdDecompressor()
-    for i in range(t.num_rows):
-        ids += t.column("ids")[i].as_py()
-        vers += t.column("vers")[i].as_py()
-        sizes += t.column("sizes")[i].as_py()
-        parts.append(open_.decompress(t.column("blob")[i].as_py(), max_output_size=max(1, sum(t.column("sizes")[i].as_py()))))
-    return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64), np.array(ids, np.int64), np.array(vers, np.int64)
-
+        lo = s[first]
+        yield np.searchsorted(off, lo + b0, side="right") - 1, lo + b0, last - first + 1, anchor[first] - lo
 
-class _Rows:
-    """Row numbers by (id, version); a fully repeated row has several."""
 
-    def __init__(self, ids, vers) -> None:
-        self.order = np.lexsort((vers, ids))
-        self.keys = np.zeros(len(ids), np.dtype([("d", "<i8"), ("v", "<i8")]))
-        self.keys["d"], self.keys["v"] = ids[self.order], vers[self.order]
-
-    def __call__(self, d: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (number of the question, row)."""
-        kinds, back = np.unique(np.rec.fromarrays([d, v], dtype=self.keys.dtype), return_inverse=True)
-        lo, hi = np.searchsorted(self.keys, kinds, "left"), np.searchsorted(self.keys, kinds, "right")
-        count = (hi - lo)[back]
-        which = np.repeat(np.arange(len(d)), count)
-        inner = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-        return which, self.order[lo[back][which] + inner]
+def _class(c: int, n: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First window and number of windows of class c of runs of n windows whose anchor is at o."""
+    far = o - (WINDOW - GRAM if c == CLASSES - 1 else c * STEP + STEP - 1)  # window of the class with the anchor farthest in
+    first = np.maximum(far, 0)
+    return first, np.minimum(n - 1, o - c * STEP) - first + 1
 
 
 class Suffixes:
@@ -272,11 +139,10 @@ class Suffixes:
 
     def __init__(self, data: np.ndarray) -> None:
         self.data = data
-        self.padded = np.concatenate([data, np.zeros(WINDOW, np.uint8)])
-        base = 0xD1342543DE82EF95
-        n = len(self.padded)
+        n = len(data)
         self.prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.padded.astype(np.uint64) + np.uint64(1)) * powers(base, n), dtype=np.uint64, out=self.prefix[1:])
+        base = 0xD1342543DE82EF95
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(base, n)[:n], dtype=np.uint64, out=self.prefix[1:])
         self.lift = powers(base, n + 1)
 
     def same(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -286,9 +152,11 @@ class Suffixes:
         early, late = np.where(a <= b, ha, hb), np.where(a <= b, hb, ha)
         return early * self.lift[hi - lo] == late
 
-    def extension(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Common extension of suffixes a and b, up to a window: binary search on hashes."""
-        low, high = np.zeros(len(a), np.int64), np.full(len(a), WINDOW, np.int64)
+    def extension(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Common extension of suffixes a and b, up to ``size``: the whole first, then binary search on hashes."""
+        high = np.array(size, np.int64)
+        low = np.where(self.same(a, b, high), high, 0)
+        high = np.where(low == high, high, high - 1)
         while True:
             open_ = np.flatnonzero(low < high)
             if not len(open_):
@@ -298,30 +166,32 @@ class Suffixes:
             low[open_] = np.where(ok, mid, low[open_])
             high[open_] = np.where(ok, high[open_], mid - 1)
 
-    def before(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether suffix a sorts before suffix b within a window."""
-        e = self.extension(a, b)
-        inside = e < WINDOW
-        x, y = self.padded[np.minimum(a + e, len(self.padded) - 1)], self.padded[np.minimum(b + e, len(self.padded) - 1)]
-        return inside & (x < y)
+    def before(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether suffix a sorts before suffix b within ``size`` bytes."""
+        e = self.extension(a, b, size)
+        inside = np.minimum(e, size - 1)
+        return (e < size) & (self.data[a + inside] < self.data[b + inside])
 
-    def sort(self, at: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """Order of suffixes ``at`` within groups (sorted group numbers): bottom-up mergesort, all merges of a level at once."""
+    def sort(self, at: np.ndarray, group: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Order of suffixes ``at`` within groups (sorted group numbers; one ``size`` a group): bottom-up mergesort, all merges
+        of a level at once; runs that are in order already are left alone."""
         n = len(at)
         order = np.arange(n)
         begin = np.searchsorted(group, group, "left")
-        size = np.searchsorted(group, group, "right") - begin
+        many = np.searchsorted(group, group, "right") - begin
         width = 1
-        while n and width < size.max():
-            busy = np.flatnonzero(size > width)
-            place = busy - begin[busy]
-            left = (place // width) % 2 == 0
-            base = begin[busy] + place // (2 * width) * (2 * width)
-            mid = np.minimum(base + width, begin[busy] + size[busy])
-            end = np.minimum(base + 2 * width, begin[busy] + size[busy])
+        while n and width < many.max():
+            heads = np.flatnonzero((many > width) & ((np.arange(n) - begin) % (2 * width) == 0) & (np.arange(n) - begin + width < many))
+            mid = heads + width
+            wrong = self.before(at[order[mid]], at[order[mid - 1]], size[heads])
+            heads, mid = heads[wrong], mid[wrong]
+            end = np.minimum(heads + 2 * width, begin[heads] + many[heads])
+            busy = np.repeat(heads - (np.cumsum(end - heads) - (end - heads)), end - heads) + np.arange(int((end - heads).sum()))
+            base, mid, end = (np.repeat(x, end - heads) for x in (heads, mid, end))
+            left = busy < mid
             lo = np.where(left, mid, base)
             hi = np.where(left, end, mid)
-            own, floor = at[order[busy]], lo.copy()
+            own, floor, cap = at[order[busy]], lo.copy(), size[busy]
             while True:  # rank of each suffix in the other run
                 open_ = np.flatnonzero(lo < hi)
                 if not len(open_):
@@ -329,7 +199,9 @@ class Suffixes:
                 m = (lo[open_] + hi[open_]) >> 1
                 other = at[order[m]]
                 side = left[open_]
-                goes = np.where(side, self.before(other, own[open_]), ~self.before(own[open_], other))  # stable
+                x, y = np.where(side, other, own[open_]), np.where(side, own[open_], other)
+                less = self.before(x, y, cap[open_])
+                goes = np.where(side, less, ~less)  # stable
                 lo[open_] = np.where(goes, m + 1, lo[open_])
                 hi[open_] = np.where(goes, hi[open_], m)
             target = base + (busy - np.where(left, base, mid)) + (lo - floor)
@@ -339,180 +211,286 @@ class Suffixes:
             width *= 2
         return order
 
-    def equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Windows that are equal: by extension, then byte by byte."""
+    def equal(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Suffixes that agree on their first ``size`` bytes: by extension, then byte by byte."""
         out = np.zeros(len(a), bool)
-        hit = np.flatnonzero(self.extension(a, b) >= WINDOW)
-        for s in range(0, len(hit), 1 << 16):
-            h = hit[s : s + (1 << 16)]
-            grid = np.arange(WINDOW)
-            out[h] = (self.padded[a[h, None] + grid] == self.padded[b[h, None] + grid]).all(1)
+        hit = np.flatnonzero(self.extension(a, b, size) >= size)
+        for s in range(0, len(hit), 1 << 15):
+            h = hit[s : s + (1 << 15)]
+            different = _bytes_of(self.data, a[h], size[h]) != _bytes_of(self.data, b[h], size[h])
+            owner = np.repeat(np.arange(len(h)), size[h])
+            out[h] = np.bincount(owner, weights=different, minlength=len(h)) == 0
         return out
 
+    def leads(self, at: np.ndarray, group: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The first in the given order among the equal suffixes of the same group, for each (group numbers are sorted)."""
+        order = self.sort(at, group, size)
+        a = at[order]
+        next_ = np.flatnonzero(group[1:] == group[:-1])
+        head = np.ones(len(a), bool)
+        head[next_ + 1] = ~self.equal(a[next_ + 1], a[next_], size[next_])
+        out = np.zeros(len(a), np.int64)
+        out[order] = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
+        return out
 
-def _first_bytes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A 64-bit key of the 16 bytes from each place on."""
-    out = np.zeros((2, len(at)), np.uint64)
-    for j in range(16):
-        out[j // 8] = (out[j // 8] << np.uint64(8)) | data[at + j]
-    return mix(out[0]) ^ (out[1] * np.uint64(0x9E3779B97F4A7C15))
 
+def _words(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit key of the ``size`` bytes (a multiple of 8) from each place on."""
+    eight = np.ndarray((max(0, len(data) - 7),), "<u8", data, 0, (1,))
+    out = np.zeros(len(at), np.uint64)
+    for j in range(0, size, 8):
+        out = mix((out ^ eight[at + j]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(j))
+    return out
 
-def _merged(rows, lo, hi):
-    """Stretches of rows, overlapping and touching ones joined."""
-    order = np.lexsort((lo, rows))
-    rows, lo, hi = rows[order], lo[order], hi[order]
-    if not len(rows):
-        return rows, lo, hi
-    # ends made cumulative within a row by an offset that keeps rows apart
-    step = int(max(hi.max(), lo.max())) + 2
-    reach = np.maximum.accumulate(hi + rows * step)
-    new = np.r_[True, (lo[1:] + rows[1:] * step > reach[:-1]) | (rows[1:] != rows[:-1])]
-    first = np.flatnonzero(new)
-    return rows[first], lo[first], np.r_[reach[first[1:] - 1], reach[-1]] - rows[first] * step
 
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by the keys (the first counts most) and the number of each element's group in that order."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    return order, np.cumsum(new)
+
+
+def repeats(data: np.ndarray, at: np.ndarray, key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which windows of the stretches at ``at`` repeat an earlier one: (stretch, first window, number of windows).
+
+    key: of each stretch's anchor; rows: ids and places, as ROW.
+    """
+    data = np.ascontiguousarray(data)
+    s = Suffixes(data)
+    d, z, p, n, o = rows["d"], rows["z"], rows["p"].astype(np.int64), rows["n"].astype(np.int64), rows["o"].astype(np.int64)
+    rank = np.empty(len(at), np.int64)  # by document and place; equal ones share the rank
+    order, number = _groups(z, d, p)
+    rank[order] = number
+    some = np.unique(key, return_inverse=True, return_counts=True)
+    shared = some[2][some[1]] > 1
+    later = np.zeros(len(at), bool)
+    if not shared.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    x = np.flatnonzero(shared)
+    x = x[np.lexsort((rank[x], n[x], key[x]))]
+    _, group = _groups(key[x], n[x])  # already in order
+    lead = x[s.leads(at[x], group, n[x] + WINDOW - 1)]
+    later[x] = rank[x] != rank[lead]
+    # stretches of one anchor that remain and differ
+    rest = x[~later[x]]
+    stretch, window, cell = [], [], []
+    cells = 0
+    for c in range(CLASSES):
+        first, many = _class(c, n[rest], o[rest])
+        own = rest[many > 0]
+        first, many = first[many > 0], many[many > 0]
+        begin = at[own] + o[own] - c * STEP
+        core = mix(_words(data, begin, 80) ^ key[own])
+        order, group = _groups(core)
+        size = np.bincount(group, minlength=1)[group] if len(group) else group
+        own, first, many, group = own[order][size > 1], first[order][size > 1], many[order][size > 1], group[size > 1]
+        inner = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        stretch.append(np.repeat(own, many))
+        window.append(np.repeat(first, many) + inner)
+        cell.append(np.repeat(group, many) + cells)
+        cells += int(group[-1]) + 1 if len(group) else 0
+    stretch, window, cell = np.concatenate(stretch), np.concatenate(window), np.concatenate(cell)
+    if len(stretch):
+        # equal windows have their anchor at equal offsets
+        place = p[stretch] + window
+        order = np.lexsort((place, d[stretch], z[stretch], o[stretch] - window, cell))
+        stretch, window, cell, place = stretch[order], window[order], cell[order], place[order]
+        _, group = _groups(cell, o[stretch] - window)
+        lead = s.leads(at[stretch] + window, group, np.full(len(stretch), WINDOW))
+        gone = (d[stretch] != d[stretch][lead]) | (z[stretch] != z[stretch][lead]) | (place != place[lead])
+        stretch, window = stretch[gone], window[gone]
+        order = np.lexsort((window, stretch))
+        stretch, window = stretch[order], window[order]
+        new = np.flatnonzero(np.r_[True, (stretch[1:] != stretch[:-1]) | (window[1:] != window[:-1] + 1)]) if len(stretch) else np.zeros(0, np.int64)
+        stretch, window, count = stretch[new], window[new], np.diff(np.r_[new, len(stretch)])
+    else:
+        count = window
+    whole = np.flatnonzero(later)
+    return np.concatenate([whole, stretch]), np.concatenate([np.zeros(len(whole), np.int64), window]), np.concatenate([n[whole], count])
+
+
+def _left(n: np.ndarray, which: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of stretches of n windows that are not among the given ones: (stretch, first window, number)."""
+    edge = np.cumsum(n + 1) - (n + 1)
+    step = np.zeros(int((n + 1).sum()) + 1, np.int32)
+    np.add.at(step, edge, 1)
+    np.add.at(step, edge + n, -1)
+    np.add.at(step, edge[which] + first, -1)
+    np.add.at(step, edge[which] + first + count, 1)
+    on = np.cumsum(step[:-1]) > 0
+    turn = np.flatnonzero(np.diff(np.r_[False, on, False]))
+    lo, hi = turn[::2], turn[1::2]
+    row = np.searchsorted(edge, lo, side="right") - 1
+    return row, lo - edge[row], hi - lo
+
+
+def _notes(rows: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Repeated windows of documents; neighbouring ones joined."""
+    p = rows["p"].astype(np.int64) + first
+    order = np.lexsort((p, rows["v"], rows["z"], rows["d"]))
+    rows, p, count = rows[order], p[order], count[order]
+    new = np.ones(len(p), bool)
+    new[1:] = (rows["d"][1:] != rows["d"][:-1]) | (rows["z"][1:] != rows["z"][:-1]) | (rows["v"][1:] != rows["v"][:-1]) | (p[1:] != (p + count)[:-1])
+    at = np.flatnonzero(new)
+    out = np.zeros(len(at), NOTE)
+    for f in ("d", "v", "z"):
+        out[f] = rows[f][at]
+    out["p"], out["n"] = p[at], np.add.reduceat(count, at) if len(at) else 0
+    return out
 
-_STRETCH = np.dtype([("r", "<u4"), ("lo", "<u4"), ("hi", "<u4")])
 
+def _packed_notes(notes: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
+    got = [(b, _pack(notes[i])) for b, i in _by_bucket(_dealt(notes["d"], buckets), notes)]
+    return [b for b, _ in got], [x for _, x in got]
 
-def _verdict(data: np.ndarray, off: np.ndarray, ids, rows, lo, hi):
-    """Final columns of all rows, given removed stretches [lo, hi) of rows."""
-    edge = np.zeros(len(data) + 1, np.int32)
-    np.add.at(edge, off[rows] + lo, 1)
-    np.add.at(edge, off[rows] + hi, -1)
-    gone = np.cumsum(edge[:-1]) > 0
-    out = []
-    for i in range(len(off) - 1):
-        g = gone[off[i] : off[i + 1]]
-        n = int(g.sum())
-        spans = int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if n else 0
-        own = data[off[i] : off[i + 1]]
-        out.append((None if ids[i] == _NULL else int(ids[i]), len(own), n, spans, hashlib.sha256((own[~g] if n else own).tobytes()).hexdigest()))
-    return out
 
+def _anchors(buckets: int):
+    """What is first in its chunk, with its bytes, by anchor bucket (to = -1); notes of repeats within the chunk, to be passed on."""
 
-FINAL = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-_FINAL_NAMES = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-_MIDDLE = f"kind int, {FINAL}, bucket bigint, rows binary, ids array<bigint>, vers array<bigint>, sizes array<bigint>, blob binary"
-
-
-def _final(rows) -> dict:
-    a = list(zip(*rows, strict=True)) if rows else [[]] * 5
-    return {k: pa.array(v, pa.string() if k == "kept_sha256" else pa.int64()) for k, v in zip(_FINAL_NAMES, a, strict=True)}
-
-
-def _sort_windows(buckets: int, docs: int):
-    """Of each document bucket: finished documents (kind 0), firsts of equal windows (1), documents that wait (2), their notes (3)."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        data, off, ids, vers = _texts(left)
-        notes = _gather(right, NOTE)
-        which, row = _Rows(ids, vers)(notes["d"], (notes["nv"] >> np.uint32(7)).astype(np.int64))
-        p, n, ask = notes["p"][which].astype(np.int64), (notes["nv"][which] & np.uint32(127)).astype(np.int64), notes["ask"][which] > 0
-        # suffixes to sort, over the texts of the documents that have any
-        asked = np.zeros(len(ids), bool)
-        asked[row[ask]] = True
-        sizes = np.diff(off)
-        own_data = data[np.repeat(asked, sizes)]
-        own_off = np.concatenate([[0], np.cumsum(np.where(asked, sizes, 0))]).astype(np.int64)
-        at = np.repeat(own_off[row[ask]] + p[ask], n[ask]) + (np.arange(int(n[ask].sum())) - np.repeat(np.cumsum(n[ask]) - n[ask], n[ask]))
-        owner = np.repeat(row[ask], n[ask])
-        lo, hi, rows = p[~ask], p[~ask] + n[~ask] - 1 + WINDOW, row[~ask]
-        reps = np.zeros(0, REP)
-        if len(at):
-            s = Suffixes(own_data)
-            key = _first_bytes(own_data, at)
-            first = np.lexsort((at - own_off[owner], ids[owner], key))
-            at, owner, key = at[first], owner[first], key[first]
-            group = np.cumsum(np.r_[False, key[1:] != key[:-1]])
-            order = s.sort(at, group)
-            at, owner = at[order], owner[order]
-            head = np.r_[True, ~s.equal(at[1:], at[:-1])]
-            lead = np.flatnonzero(head)[np.cumsum(head) - 1]
-            place = at - own_off[owner]
-            # the sort is stable and suffixes came in by (id, place), so a class's first is its least
-            later = (ids[owner] != ids[owner[lead]]) | (place != place[lead])
-            rows = np.concatenate([rows, owner[later]])
-            lo, hi = np.concatenate([lo, place[later]]), np.concatenate([hi, place[later] + WINDOW])
-            keep = ~later & head
-            reps = np.zeros(int(keep.sum()), REP)
-            raw = own_data.tobytes()
-            for i, a in enumerate(at[keep].tolist()):
-                h = xxhash.xxh3_128_intdigest(raw[a : a + WINDOW])
-                reps["w"][i], reps["x"][i] = h & 0xFFFFFFFFFFFFFFFF, h >> 96
-            del s, raw
-            reps["d"], reps["v"], reps["p"] = ids[owner[keep]], vers[owner[keep]], place[keep]
-        # documents with an asked window wait for other buckets
-        waits = np.zeros(len(ids), bool)
-        waits[owner] = True
-        done = np.flatnonzero(~waits)
-        table_ = []
-        number = np.cumsum(~waits) - 1
-        free = ~waits[rows]
-        size = sizes
-        mask = np.repeat(~waits, size)
-        table_.append({"kind": pa.array([0] * len(done), pa.int32()), **_final(_verdict(data[mask], np.concatenate([[0], np.cumsum(size[done])]).astype(np.int64), ids[done], number[rows[free]], lo[free], hi[free]))})
-        b, packed = _packed((reps["w"] % np.uint64(buckets)).astype(np.int64), reps)
-        table_.append({"kind": pa.array([1] * len(b), pa.int32()), "bucket": pa.array(b, pa.int64()), "rows": pa.array(packed, pa.binary())})
-        if waits.any():
-            w = np.flatnonzero(waits)
-            part = _merged((np.cumsum(waits) - 1)[rows[~free]], lo[~free], hi[~free])
-            own = np.zeros(len(part[0]), _STRETCH)
-            own["r"], own["lo"], own["hi"] = part
-            blob = zstandard.ZstdCompressor(level=1).compress(data[~mask].tobytes())
-            number_ = int(_dealt(ids[w[:1]], docs)[0])
-            table_.append({"kind": pa.array([2], pa.int32()), "bucket": pa.array([number_], pa.int64()), "rows": pa.array([own.tobytes()], pa.binary()), "ids": pa.array([ids[w]], pa.list_(pa.int64())), "vers": pa.array([vers[w]], pa.list_(pa.int64())), "sizes": pa.array([size[w]], pa.list_(pa.int64())), "blob": pa.array([blob], pa.binary())})
-        names = [("kind", pa.int32()), *[(c, pa.string() if c == "kept_sha256" else pa.int64()) for c in _FINAL_NAMES], ("bucket", pa.int64()), ("rows", pa.binary()), *[(c, pa.list_(pa.int64())) for c in ("ids", "vers", "sizes")], ("blob", pa.binary())]
-        return pa.concat_tables([pa.table({c: t[c] if c in t else pa.nulls(len(t["kind"]), k) for c, k in names}, pa.schema(names)) for t in table_])
+    def run(batches):
+        for batch in batches:
+            for part, data, off in chunks(batch, limit=CHUNK):
+                (ids, null), ver = _ids(part), _versions(data, off)
+                held: list = []
+                blocks = runs_of(data, off)
+                while True:
+                    block = next(blocks, None)
+                    if block is not None:
+                        held.append(block)
+                    if held and (block is None or sum(len(x[0]) for x in held) >= STRETCHES):
+                        yield _chunk(data, off, ids, null, ver, buckets, *[np.concatenate(x) for x in zip(*held, strict=True)])
+                        held = []
+                    if block is None:
+                        break
 
     return run
 
 
-def _merge_windows(docs: int):
-    """Equal windows of different buckets: all but the first are repeats."""
+def _chunk(data, off, ids, null, ver, buckets, r, at, n, o) -> pa.RecordBatch:
+    rows = np.zeros(len(at), ROW)
+    rows["d"], rows["z"], rows["v"], rows["p"], rows["n"], rows["o"] = ids[r], null[r], ver[r], at - off[r], n, o
+    lo, hi = int(at.min()), int((at + n).max()) + WINDOW - 1
+    data, at = data[lo:hi], at - lo
+    key = _words(data, at + o, GRAM)
+    which, first, count = repeats(data, at, key, rows)
+    nb, notes = _packed_notes(_notes(rows[which], first, count), buckets)
+    row, first, count = _left(n, which, first, count)
+    # of fully repeated rows one is enough: notes go to every row of the same id and text
+    _, once = np.unique(np.rec.fromarrays([rows["d"][row], rows["z"][row], rows["v"][row], rows["p"][row] + first.astype(np.uint32)]), return_index=True)
+    row, first, count = row[once], first[once], count[once]
+    out = rows[row]
+    out["p"] += first.astype(np.uint32)
+    out["o"], out["n"] = o[row] - first, count
+    at, key = at[row] + first, key[row]
+    b, packed = [], []
+    for bucket, i in _by_bucket((mix(key) % np.uint64(buckets)).astype(np.int64), out):
+        b.append(bucket)
+        packed.append(_pack(out[i], _bytes_of(data, at[i], count[i] + WINDOW - 1).tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array([-1] * len(b) + nb, pa.int64()), pa.array(b + [x % buckets for x in nb], pa.int64()), pa.array(packed + notes, pa.binary())], ["to", "bucket", "rows"])
+
+
+def _resolve(buckets: int):
+    """Notes of all stretches and windows of an anchor bucket that repeat an earlier one, and the notes passed on."""
 
     def run(t: pa.Table) -> pa.Table:
-        x = _gather(t, REP)
-        x = x[np.lexsort((x["p"], x["d"], x["x"], x["w"]))]
-        head = np.r_[True, (x["w"][1:] != x["w"][:-1]) | (x["x"][1:] != x["x"][:-1])]
-        lead = np.flatnonzero(head)[np.cumsum(head) - 1]
-        later = x[(x["d"] != x["d"][lead]) | (x["p"] != x["p"][lead])]
-        notes = np.zeros(len(later), NOTE)
-        notes["d"], notes["p"], notes["nv"] = later["d"], later["p"], np.uint32(1) | (later["v"] << np.uint32(7))
-        b, rows = _packed(_dealt(notes["d"], docs), notes)
-        return pa.table({"bucket": pa.array(b, pa.int64()), "rows": pa.array(rows, pa.binary())})
+        to = t.column("to").to_numpy()
+        passed = t.filter(pa.array(to >= 0))
+        own = [_unpack(x, ROW) for x in t.filter(pa.array(to < 0)).column("rows").to_pylist()]
+        b, packed = passed.column("to").to_pylist(), passed.column("rows").to_pylist()
+        if own:
+            rows, data = np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own])
+            del own
+            size = rows["n"].astype(np.int64) + WINDOW - 1
+            at = np.cumsum(size) - size
+            key = _words(data, at + rows["o"], GRAM)
+            order, group = _groups(key)
+            many = np.bincount(group)[group]
+            order, group = order[many > 1], group[many > 1]
+            # whole anchors, SORT_BYTES at a time
+            done = np.cumsum(size[order])
+            found = []
+            i = 0
+            while i < len(order):
+                j = int(np.searchsorted(done, (done[i - 1] if i else 0) + SORT_BYTES, side="right"))
+                j = int(np.searchsorted(group, group[min(max(j, i + 1), len(order)) - 1], side="right"))
+                x = order[i:j]
+                n = size[x]
+                which, first, count = repeats(_bytes_of(data, at[x], n), np.cumsum(n) - n, key[x], rows[x])
+                found.append(_notes(rows[x[which]], first, count))
+                i = j
+            if found:
+                nb, notes = _packed_notes(np.concatenate(found), buckets)
+                b, packed = b + nb, packed + notes
+        return pa.table({"bucket": pa.array(b, pa.int64()), "rows": pa.array(packed, pa.binary())})
 
     return run
 
 
-def _finish(left: pa.Table, right: pa.Table) -> pa.Table:
-    if not left.num_rows:
-        return pa.table(_final([]))
+def _pack_texts(buckets: int):
+    """Texts of a chunk by document bucket, compressed together."""
+
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for part, data, off in chunks(batch, limit=CHUNK):
+                (ids, null), ver = _ids(part), _versions(data, off)
+                bucket = _dealt(ids, buckets)
+                out = []
+                for b in np.unique(bucket).tolist():
+                    at = np.flatnonzero(bucket == b)
+                    blob = b"".join(data[off[i] : off[i + 1]].tobytes() for i in at)
+                    out.append((b, ids[at], null[at].astype(np.int64), ver[at].view(np.int64), (off[at + 1] - off[at]), press.compress(blob)))
+                a = list(zip(*out, strict=True)) if out else [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(a[0], pa.int64()), *[pa.array(a[i], pa.list_(pa.int64())) for i in (1, 2, 3, 4)], pa.array(a[5], pa.binary())], ["bucket", "ids", "nulls", "vers", "sizes", "blob"])
+
+    return run
+
+
+FINAL = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+
+
+def _final(texts: pa.Table, notes: pa.Table) -> pa.Table:
+    """The verdict on each document of a bucket."""
+    held = [_unpack(x, NOTE)[0] for x in notes.column("rows").to_pylist()] if notes.num_rows else []
+    note = np.concatenate(held) if held else np.zeros(0, NOTE)
+    note = note[np.lexsort((note["p"], note["v"], note["z"], note["d"]))]
+    key = np.rec.fromarrays([note["d"], note["z"], note["v"]], dtype=np.dtype([("d", "<i8"), ("z", "u1"), ("v", "<u8")]))
+    open_ = zstandard.ZstdDecompressor()
     out = []
-    notes = _gather(right, NOTE)
-    for i in range(left.num_rows):
-        data, off, ids, vers = _texts(left.slice(i, 1))
-        own = np.frombuffer(left.column("rows")[i].as_py(), _STRETCH)
-        which, row = _Rows(ids, vers)(notes["d"], (notes["nv"] >> np.uint32(7)).astype(np.int64))
-        p = notes["p"][which].astype(np.int64)
-        out += _verdict(data, off, ids, np.concatenate([own["r"].astype(np.int64), row]), np.concatenate([own["lo"].astype(np.int64), p]), np.concatenate([own["hi"].astype(np.int64), p + WINDOW]))
-    return pa.table(_final(out))
+    for i in range(texts.num_rows):
+        ids, nulls, vers, sizes = (np.array(texts.column(c)[i].as_py(), np.int64) for c in ("ids", "nulls", "vers", "sizes"))
+        data = np.frombuffer(open_.decompress(texts.column("blob")[i].as_py(), max_output_size=max(1, int(sizes.sum()))), np.uint8)
+        off = np.r_[0, np.cumsum(sizes)]
+        ask = np.rec.fromarrays([ids, nulls.astype(np.uint8), vers.view(np.uint64)], dtype=key.dtype)
+        lo, hi = np.searchsorted(key, ask, "left"), np.searchsorted(key, ask, "right")
+        for r in range(len(ids)):
+            own = data[off[r] : off[r + 1]]
+            removed = spans = 0
+            if hi[r] > lo[r]:
+                edge = np.zeros(len(own) + 1, np.int32)
+                p, n = note["p"][lo[r] : hi[r]].astype(np.int64), note["n"][lo[r] : hi[r]].astype(np.int64)
+                np.add.at(edge, p, 1)
+                np.add.at(edge, p + n - 1 + WINDOW, -1)
+                gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
+                removed, spans = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+                own = own[~gone]
+            out.append((None if nulls[r] else int(ids[r]), int(sizes[r]), removed, spans, hashlib.sha256(own.tobytes()).hexdigest()))
+    a = list(zip(*out, strict=True)) if out else [[]] * 5
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    return pa.table({k: pa.array(v, pa.string() if k == "kept_sha256" else pa.int64()) for k, v in zip(names, a, strict=True)})
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document."""
-    spark = documents.sparkSession
     documents = documents.select("doc_id", "text")
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(partitions(spark), -(-size // BUCKET_BYTES))
-    found = documents.mapInArrow(_anchors(buckets, buckets), "to bigint, bucket bigint, rows binary")
-    notes = found.groupBy("bucket").applyInArrow(_resolve_runs(buckets), "bucket bigint, rows binary")
-    texts = documents.mapInArrow(_pack_texts(buckets), "bucket bigint, ids array<bigint>, vers array<bigint>, sizes array<bigint>, blob binary")
-    middle = stored(texts.groupBy("bucket").cogroup(notes.groupBy("bucket")).applyInArrow(_sort_windows(buckets, buckets), _MIDDLE))
-    more = middle.where("kind = 1").select("bucket", "rows").groupBy("bucket").applyInArrow(_merge_windows(buckets), "bucket bigint, rows binary")
-    waiting = middle.where("kind = 2").select("bucket", "rows", "ids", "vers", "sizes", "blob")
-    late = waiting.groupBy("bucket").cogroup(more.groupBy("bucket")).applyInArrow(_finish, FINAL)
-    return middle.where("kind = 0").select(*_FINAL_NAMES).union(late)
+    buckets = max(partitions(documents.sparkSession), -(-size // BUCKET_BYTES))
+    found = documents.mapInArrow(_anchors(buckets), "to bigint, bucket bigint, rows binary")
+    notes = found.groupBy("bucket").applyInArrow(_resolve(buckets), "bucket bigint, rows binary")
+    texts = documents.mapInArrow(_pack_texts(buckets), "bucket bigint, ids array<bigint>, nulls array<bigint>, vers array<bigint>, sizes array<bigint>, blob binary")
+    return texts.groupBy("bucket").cogroup(notes.groupBy("bucket")).applyInArrow(_final, FINAL)
 
 
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -276,12 +276,12 @@ def removed(rows) -> list[tuple]:
     seen: dict[bytes, tuple] = {}
     out = []
     for i in order:
-        key, raw = rows[i][0] if rows[i][0] is not None else 1 << 63, (rows[i][1] or "").encode()
+        key, raw = rows[i][0] if rows[i][0] is not None else 1 << 64, (rows[i][1] or "").encode()
         for p in range(len(raw) - 99):
             w = raw[p : p + 100]
             seen[w] = min(seen.get(w, (key, p)), (key, p))
     for i in order:
-        key, raw = rows[i][0] if rows[i][0] is not None else 1 << 63, (rows[i][1] or "").encode()
+        key, raw = rows[i][0] if rows[i][0] is not None else 1 << 64, (rows[i][1] or "").encode()
         gone = [False] * len(raw)
         for p in range(len(raw) - 99):
             if seen[raw[p : p + 100]] < (key, p):
@@ -307,11 +307,39 @@ def test_removed_bytes_are_those_of_brute_force(spark, docs, empty):
     assert suffixes.deduplicate(docs).count() == len(ROWS) and suffixes.deduplicate(empty).count() == 0
 
 
+@pytest.mark.parametrize("broken", ["sort", "equal"])
+def test_the_suffix_sort_and_the_byte_check_decide_what_goes(spark, monkeypatch, broken):
+    rng = random.Random(61)
+    passages = [prose(800 + i, 40) for i in range(3)]
+    rows = [(i, prose(i, 4) + rng.choice(passages)[: rng.randrange(150, 200)] + f" {i} " + prose(i + 1, 4)) for i in range(60)]
+    assert sum(r[2] for r in removed(rows)) > 1000
+    swap = {"sort": lambda self, at, group, size: np.arange(len(at)), "equal": lambda self, a, b, size: np.zeros(len(a), bool)}
+    whole = suffixes.Suffixes(np.frombuffer(b"ab" * 400, np.uint8))
+    at = np.array([0, 1, 2, 3])
+    assert whole.leads(at, np.zeros(4, np.int64), np.full(4, 100)).tolist() == [0, 1, 0, 1]
+    monkeypatch.setattr(suffixes.Suffixes, broken, swap[broken])
+    assert whole.leads(at, np.zeros(4, np.int64), np.full(4, 100)).tolist() == [0, 1, 2, 3]
+    got = suffixes.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=str) != removed(rows)
+
+
+def test_repeats_across_chunks_and_in_periodic_texts(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "CHUNK", 3000)
+    monkeypatch.setattr(suffixes, "STRETCHES", 20)
+    monkeypatch.setattr(suffixes, "SORT_BYTES", 2000)
+    monkeypatch.setattr(suffixes, "BUCKET_BYTES", 5000)
+    rng = random.Random(62)
+    rows = [(rng.randrange(40), prose(rng.randrange(12), 30)[rng.randrange(40) :] + "xyz" * rng.randrange(90) + prose(rng.randrange(12), 30)) for _ in range(70)]
+    rows += [((1 << 63) - 1, prose(3, 40)), (None, prose(3, 40)), (None, None), (-5, "q" * 3000), (-5, prose(3, 40)), (7, prose(4, 2000))]
+    got = suffixes.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == removed(rows)
+
+
 def test_suffix_sort_orders_suffixes():
     data = np.frombuffer((prose(1, 80) * 2 + "zz" * 90).encode(), np.uint8)
     s = suffixes.Suffixes(data)
     at = np.arange(len(data) - 100)
-    order = s.sort(at, np.zeros(len(at), np.int64))
+    order = s.sort(at, np.zeros(len(at), np.int64), np.full(len(at), 100))
     raw = data.tobytes()
     assert [raw[i : i + 100] for i in at[order]] == sorted(raw[i : i + 100] for i in at)
     same = [(i, j) for i, j in zip(at[order], at[order][1:]) if raw[i : i + 100] == raw[j : j + 100]]
