@@ -1,16 +1,24 @@
 """Secret scans with a randomness test battery, in SQL expressions only.
 
-Base kinds are found by pattern (assign, access, hex).  The battery looks at every further run of 20 or more base-64
-characters that holds a letter and a digit.  Its encoding is inferred (hex, base32, alphanumeric, base64), which fixes an
-alphabet of k symbols, and three tests of "uniformly random over the alphabet" are made: chi-squared of the symbol counts,
-runs about the alphabet's middle and lag-1 serial correlation.  Fisher's method combines them; a token that the battery
-rejects as not random is no secret.
-
-What is controlled is the share of false discoveries, so the null hypothesis there is "ordinary text": the p-value is the
-chance that text of the same length and alphabet, whose letters repeat as natural language's do, has a chi-squared as
-small.  It depends on the length through the null's mean and spread, and Benjamini-Hochberg is applied within length
-classes over the whole corpus (from a histogram of p-values, which has a fixed number of cells).  Tokens within the
-threshold are added as spans of kind ``random``, where they overlap no base span.
+Base kinds are found by pattern (assign, access, hex).  The battery looks at every maximal run of 16 or more base-64 characters
+that holds a letter, inside base spans and outside.  Its encoding is inferred (hex, base32, alphanumeric, base64), which fixes an
+alphabet of k symbols.  Three tests of "uniformly random over the alphabet" are made: chi-squared of the symbol counts, runs
+about the alphabet's middle and lag-1 serial correlation.  Fisher's method combines them; a token rejected as not random
+at ``NOT_RANDOM`` is no secret.
+
+What is controlled is the share of false discoveries, so the null hypothesis there is "ordinary text", and the same three tests
+are turned round and combined by Fisher's method, too:
+
+* chi-squared: the chance that text of this length and alphabet, whose letters repeat as natural language's do, has one as small;
+* runs: of characters of one class (upper case, lower case, digits, others).  Ordinary text changes class after at most
+  ``CLASS_CHANGES`` of its characters; the chance of as many changes as seen is bounded by Chernoff;
+* serial correlation: ordinary text that mixes classes does so in stretches, so neighbours agree (``STRETCHES`` on average);
+  the chance of so low a correlation.
+
+The combined p-value depends on the length through all three, and Benjamini-Hochberg is applied to it within length classes over
+the whole corpus (from a histogram of p-values, which has a fixed number of cells).  Tokens of fewer than 16 characters are not tested:
+a random one changes class at about six in ten characters, which leaves it a p-value of about 1e-4, too large to be told from
+the ordinary words of a large corpus.  Accepted tokens are spans of kind ``random``; base spans stay as they are.
 
 Edge cases: null and empty texts have no spans and the hash of the empty string; repeated rows are reported each;
 null ids are kept; an empty table gives no rows; clashing columns are replaced.
@@ -26,11 +34,15 @@ from .common import stored, table
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"(AKIA[A-Z0-9]{12,})"  # runs are maximal, so a minimum in the pattern drops the same matches as a later filter
 HEX = r"([0-9a-f]{32,})"
-TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])([A-Za-z0-9+/_-]{20,}={0,2})"
+TOKEN = r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{16,}={0,2})"
 FALSE_DISCOVERIES = 0.01
 NOT_RANDOM = 0.001
 TEXT_COINCIDENCE = 0.0656  # chance that two letters of natural language agree
+CLASS_CHANGES = 0.2
+STRETCHES = 0.2
+LENGTHS = (20, 24, 32, 48, 64, 128)
 BINS = 400
+BLOCK = 256
 SPAN = "array<struct<start:int,end:int,g:string>>"
 
 
@@ -43,17 +55,28 @@ def located(text: Column, pattern: str) -> Column:
     )
 
     def walk(p):
+        many = F.size(p["m"])
+
         def step(a, i):
             start = a["at"] + F.length(F.get(p["s"], i))
             end = start + F.length(F.get(p["m"], i))
             span = F.struct(start.alias("start"), end.alias("end"), F.get(p["g"], i).alias("g"))
             return F.struct(end.alias("at"), F.concat(a["out"], F.array(span)).alias("out"))
 
-        first = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(p["m"]) - 1), first, step, lambda a: a["out"])
+        def block(a, b):  # arrays grow by one span within a block and by one block without, so long texts take no square of time
+            first = F.struct(a["at"].alias("at"), F.array().cast(SPAN).alias("out"))
+            own = F.aggregate(F.sequence(b * BLOCK, F.least(b * BLOCK + BLOCK, many) - 1), first, step)
+            return _once(own, lambda r: F.struct(r["at"].alias("at"), F.concat(a["out"], F.array(r["out"])).alias("out")))
+
+        first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.floor((many - 1) / BLOCK).cast("int")), first, block, lambda a: F.flatten(a["out"]))
+
+    return F.when(text.rlike(pattern), _once(parts, walk)).otherwise(F.array().cast(SPAN))
+
 
-    # a one-element array binds the parts once
-    return F.when(text.rlike(pattern), F.element_at(F.transform(F.array(parts), walk), 1)).otherwise(F.array().cast(SPAN))
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _normal(z: Column) -> Column:
@@ -63,8 +86,9 @@ def _normal(z: Column) -> Column:
 
 
 def _battery(token: Column) -> Column:
-    """n, class, p (under ordinary text) and fisher (under randomness) of one token."""
+    """n, length class, p (under ordinary text) and fisher (under randomness) of one token."""
     body = F.regexp_replace(token, "=+$", "")
+    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, "[A-Z]+", "A"), "[a-z]+", "a"), "[0-9]+", "0")
     hexa, b32 = body.rlike("^([0-9a-f]+|[0-9A-F]+)$"), body.rlike("^[A-Z2-7]+$")
     alphabet = (
         F.when(hexa, F.lit("0123456789abcdef")).when(b32, F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"))
@@ -75,6 +99,7 @@ def _battery(token: Column) -> Column:
     base = F.struct(
         F.length(body).cast("double").alias("n"), F.length(alphabet).cast("double").alias("k"),
         F.transform(F.split(folded, ""), lambda c: F.position(c, alphabet).cast("double")).alias("x"),
+        (F.length(F.regexp_replace(kinds, "[-+/_]+", "-")) - 1).cast("double").alias("changes"),
     )
 
     def tests(b):
@@ -86,7 +111,7 @@ def _battery(token: Column) -> Column:
         lag = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + (p["a"] - mean) * (p["c"] - mean))
         runs = 1.0 + F.size(F.filter(pairs, lambda p: (p["a"] > k / 2) != (p["c"] > k / 2)))
         high = F.size(F.filter(x, lambda y: y > k / 2)).cast("double")
-        return F.struct(n.alias("n"), k.alias("k"), (squares * k / n - n).alias("chi"), F.when(spread > 0, lag / spread).otherwise(F.lit(1.0)).alias("r"), runs.alias("runs"), high.alias("hi"))
+        return F.struct(n.alias("n"), k.alias("k"), (squares * k / n - n).alias("chi"), F.when(spread > 0, lag / spread).otherwise(F.lit(1.0)).alias("r"), runs.alias("runs"), high.alias("hi"), b["changes"].alias("changes"))
 
     def combine(t):
         n, k, chi = t["n"], t["k"], t["chi"]
@@ -102,11 +127,17 @@ def _battery(token: Column) -> Column:
         half = -(F.ln(F.greatest(F.lit(1e-12), p_chi)) + F.ln(p_runs) + F.ln(p_serial))
         fisher = F.exp(-half) * (1 + half + half * half / 2)
         delta = F.greatest(k * TEXT_COINCIDENCE, F.lit(2.0)) - 1
-        p = _normal((chi - (df + n * delta)) / F.sqrt(2 * df + 4 * n * delta))
-        stratum = F.when(n < 32, 0).when(n < 48, 1).when(n < 64, 2).when(n < 128, 3).otherwise(4)
-        return F.struct(n.cast("int").alias("n"), stratum.alias("stratum"), p.alias("p"), fisher.alias("fisher"))
+        t_chi = _normal((chi - (df + n * delta)) / F.sqrt(2 * df + 4 * n * delta))
+        share = F.least(t["changes"] / (n - 1), F.lit(1 - 1e-9))
+        rate = share * F.ln(F.greatest(share, F.lit(1e-9)) / CLASS_CHANGES) + (1 - share) * F.ln((1 - share) / (1 - CLASS_CHANGES))
+        t_runs = F.when(share > CLASS_CHANGES, F.exp(-(n - 1) * rate)).otherwise(F.lit(1.0))
+        t_serial = _normal((t["r"] - STRETCHES) * F.sqrt(n))
+        held = -(F.ln(F.greatest(F.lit(1e-15), t_chi)) + F.ln(F.greatest(F.lit(1e-15), t_runs)) + F.ln(F.greatest(F.lit(1e-15), t_serial)))
+        p = F.exp(-held) * (1 + held + held * held / 2)
+        stratum = sum((F.when(n >= x, 1).otherwise(0) for x in LENGTHS), F.lit(0))
+        return F.struct(n.cast("int").alias("n"), stratum.cast("int").alias("stratum"), p.alias("p"), fisher.alias("fisher"))
 
-    return F.element_at(F.transform(F.transform(F.array(base), tests), combine), 1)
+    return _once(_once(base, tests), combine)
 
 
 def _bin(p: Column) -> Column:
@@ -114,7 +145,7 @@ def _bin(p: Column) -> Column:
 
 
 def found(documents: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns, base spans and tested tokens of each text."""
+    """``keep`` columns, base spans (__base) and tested tokens (__tested) of each text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     kinds = [
         F.transform(F.filter(located(text, ASSIGN), lambda x: F.length(x["g"]) >= 8), lambda x: F.struct(x["start"].alias("start"), F.lit(0).alias("o"), F.lit("assign").alias("kind"), x["end"].alias("end"))),
@@ -122,10 +153,8 @@ def found(documents: DataFrame, keep: list[str]) -> DataFrame:
         F.transform(located(text, HEX), lambda x: F.struct(x["start"].alias("start"), F.lit(2).alias("o"), F.lit("hex").alias("kind"), x["end"].alias("end"))),
     ]
     tokens = F.filter(located(text, TOKEN), lambda x: x["g"].rlike("[A-Za-z]"))
-    out = documents.select(*keep, F.array_sort(F.concat(*kinds)).alias("__base"), tokens.alias("__tokens"))
-    free = F.filter("__tokens", lambda t: ~F.exists("__base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    tested = F.transform(free, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), _battery(t["g"]).alias("b")))
-    return out.select(*keep, "__base", tested.alias("__tested"))
+    tested = F.transform(tokens, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), _battery(t["g"]).alias("b")))
+    return documents.select(*keep, F.array_sort(F.concat(*kinds)).alias("__base"), tested.alias("__tested"))
 
 
 def thresholds(tested: DataFrame, q: float = FALSE_DISCOVERIES) -> dict[int, int]:
@@ -148,7 +177,7 @@ def scan(documents: DataFrame, keep: list[str], q: float = FALSE_DISCOVERIES, co
     least = thresholds(tested, q)
     ok = lambda t: (t["b"]["fisher"] >= NOT_RANDOM) & _any([(t["b"]["stratum"] == s) & (_bin(t["b"]["p"]) >= b) for s, b in sorted(least.items())])
     added = F.transform(F.filter("__tested", ok), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("o"), F.lit("random").alias("kind"), t["end"].alias("end")))
-    return tested.select(*keep, "__base", F.array_sort(F.concat("__base", added)).alias(column))
+    return tested.select(*keep, "__base", F.size("__tested").cast("bigint").alias("__n_tested"), F.array_sort(F.concat("__base", added)).alias(column))
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -165,7 +194,7 @@ def joined(spans: Column) -> Column:
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
     count = lambda kind: F.size(F.filter("__base", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
-    return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(F.col("__base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+    return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(F.col("__base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"), F.col("__n_tested").alias("n_tested"), (F.size("secrets") - F.size("__base")).cast("bigint").alias("n_random"))
 
 
 def redacted(documents: DataFrame, mark: str = "[SECRET]", q: float = FALSE_DISCOVERIES) -> DataFrame:
