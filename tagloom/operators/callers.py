@@ -2,36 +2,43 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions import columns as C
 from tagloom.schema import SCOPE_KINDS
+from tagloom.scratch import discard, stored
 
-from .graph import settled
 
 TEXT_GREP_MAX_BYTES = 1 << 20
 
 
+BIN = 64
+
+
+def binned(scopes: DataFrame, line: str, end: str) -> DataFrame:
+    """``scopes`` once for each bin of ``BIN`` lines they touch: a line meets them in its own bin only, so a join on file and bin
+    holds a line against what starts near it or runs over it, never against all of a long file."""
+    return scopes.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(line) / BIN), F.floor(F.greatest(line, end) / BIN))))
+
+
 def enclosing(sites: DataFrame, tags: DataFrame) -> DataFrame:
     """``sites`` (rel_file, line, ...) with scope, fn_name, fn_kind, fn_line, fn_end of the innermost definition around each.
 
-    An interval join on equal files; the latest start wins, then the earliest end.  Functions are qualified by the
-    innermost class strictly around them.  Sites outside any definition keep nulls.
+    An interval join on equal files and bins of lines; the latest start wins, then the earliest end.  Functions are qualified
+    by the innermost class strictly around them.  Sites outside any definition keep nulls.
     """
     scopes = tags.where(F.col("kind").isin(*SCOPE_KINDS))
     cls = scopes.where("kind = 'class'").select("rel_file", F.col("name").alias("c_name"), F.col("line").alias("c_line"), F.col("end_line").alias("c_end"), F.col("ord").alias("c_ord"))
     fn = scopes.select("rel_file", F.col("name").alias("fn_name"), F.col("kind").alias("fn_kind"), F.col("line").alias("fn_line"), F.col("end_line").alias("fn_end"), F.col("ord").alias("fn_ord"))
-    around = (
-        fn.join(cls, "rel_file", "left")
-        .groupBy("rel_file", "fn_name", "fn_kind", "fn_line", "fn_end", "fn_ord")
-        .agg(F.max(F.when((F.col("fn_kind") != "class") & (F.col("c_line") <= F.col("fn_line")) & (F.col("c_end") >= F.col("fn_end")) & ((F.col("c_line") < F.col("fn_line")) | (F.col("c_end") > F.col("fn_end"))), F.struct("c_line", -F.col("c_ord"), "c_name"))).alias("c"))
-        .withColumn("scope", F.when(F.col("c").isNotNull(), F.concat(F.col("c.c_name"), F.lit("."), F.col("fn_name"))).otherwise(F.col("fn_name"))).drop("c")
+    strictly = "fn_kind <> 'class' AND c_line <= fn_line AND c_end >= fn_end AND (c_line < fn_line OR c_end > fn_end)"
+    inside = (
+        fn.withColumn("__bin", F.floor(F.col("fn_line") / BIN)).join(binned(cls, "c_line", "c_end"), ["rel_file", "__bin"]).where(strictly)
+        .groupBy("rel_file", "fn_ord", "fn_line", "fn_name").agg(F.max(F.struct("c_line", -F.col("c_ord"), "c_name")).alias("c"))
     )
+    around = fn.join(inside, ["rel_file", "fn_ord", "fn_line", "fn_name"], "left").withColumn("scope", F.when(F.col("c").isNotNull(), F.concat(F.col("c.c_name"), F.lit("."), F.col("fn_name"))).otherwise(F.col("fn_name"))).drop("c")
     keys = sites.columns
-    hit = sites.join(around, "rel_file").where("fn_line <= line AND fn_end >= line")
+    hit = sites.withColumn("__bin", F.floor(F.col("line") / BIN)).join(binned(around, "fn_line", "fn_end"), ["rel_file", "__bin"]).where("fn_line <= line AND fn_end >= line")
     best = hit.groupBy(*keys).agg(F.max(F.struct("fn_line", (-F.col("fn_end")).alias("e"), (-F.col("fn_ord")).alias("o"), "scope", "fn_name", "fn_kind", "fn_end")).alias("b"))
     best = best.select(*keys, F.col("b.scope"), F.col("b.fn_name"), F.col("b.fn_kind"), F.col("b.fn_line"), F.col("b.fn_end"))
     return sites.join(best, keys, "left")
@@ -98,7 +105,7 @@ def caller_name(fn_name: Column, scope: Column) -> Column:
     return F.when(fn_name.isin("__init__", "constructor", "__new__"), cls).otherwise(fn_name)
 
 
-def callers(tags: DataFrame, lines: DataFrame | None, symbol: str, file: str = "", depth: int = 1, path: str = "", include_tests: bool = False) -> DataFrame:
+def callers(tags: DataFrame, lines: DataFrame | None, symbol: str, file: str = "", depth: int = 1, path: str = "", include_tests: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Sites of each level: depth, name, origin, rel_file, line, scope, fn_*, status.
 
     status adds ``ambiguous``: a by-name match of a method that other files define too, which is listed and not followed.
@@ -111,7 +118,7 @@ def callers(tags: DataFrame, lines: DataFrame | None, symbol: str, file: str = "
         origin = owners[0][0] if len(owners) == 1 else ""
     wanted = spark.createDataFrame([(symbol, origin, "", False)], "name string, origin string, cls string, method boolean")
     done = wanted.select("name")
-    out = None
+    out, mine = None, []
     for d in range(1, depth + 1):
         level = ref_sites(tags, lines, wanted.select("name", "origin"), path, include_tests)
         shown = enclosing(level.where("status = 'shown'"), tags)
@@ -124,7 +131,7 @@ def callers(tags: DataFrame, lines: DataFrame | None, symbol: str, file: str = "
                 shown = shown.join(lines.select("rel_file", "line", F.col("text").alias("__text")), ["rel_file", "line"], "left")
                 strict = strict & ~F.coalesce(F.expr("__text rlike concat('(^|[^A-Za-z0-9_])\\\\Q', cls, '.', name, '\\\\E(\\\\z|[^A-Za-z0-9_])')"), F.lit(False))
             shown = shown.withColumn("status", F.when(F.coalesce(strict, F.lit(False)), "ambiguous").otherwise(F.col("status"))).select(*rest.columns)
-        now = settled(shown.select(*rest.columns).union(rest).withColumn("depth", F.lit(d)))
+        now = stored(shown.select(*rest.columns).union(rest).withColumn("depth", F.lit(d)), mine)
         out = now if out is None else out.union(now)
         if d == depth:
             break
@@ -132,15 +139,13 @@ def callers(tags: DataFrame, lines: DataFrame | None, symbol: str, file: str = "
         # the last site of a name, by file and line, is where its origin is taken from
         last = ask.groupBy("next").agg(F.max(F.struct("rel_file", "line", "scope", "fn_kind")).alias("s"))
         method = (F.col("s.fn_kind") != "class") & F.col("s.scope").contains(".")
-        wanted = settled(last.select(F.col("next").alias("name"), F.col("s.rel_file").alias("origin"), F.when(method, F.regexp_replace(F.col("s.scope"), r"\.[^.]*\z", "")).otherwise("").alias("cls"), method.alias("method")).join(done, "name", "left_anti"))
+        wanted = stored(last.select(F.col("next").alias("name"), F.col("s.rel_file").alias("origin"), F.when(method, F.regexp_replace(F.col("s.scope"), r"\.[^.]*\z", "")).otherwise("").alias("cls"), method.alias("method")).join(done, "name", "left_anti"), mine)
         done = done.union(wanted.select("name"))
+    out = stored(out, keep)
+    discard(spark, mine)
     return out
 
 
-def quoted(name: str) -> str:
-    return re.escape(name)
-
-
 def with_context(sites: DataFrame, lines: DataFrame, context: int) -> DataFrame:
     """Lines around each site: rel_file, site, line, text, mark."""
     c = min(max(context, 0), 3)

@@ -3,31 +3,18 @@
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions import columns as C
+from tagloom.scratch import discard, stored
 
-
-def shared_folder(spark) -> str:
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return (configured or _local()).rstrip("/")
-
-
-@functools.cache
-def _local() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="tagloom-")
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts the lineage of loops and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/tagloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+ROUNDS_A_TABLE = 5
+SMALL = 1_000_000
 
 
 def resolve_links(refs: DataFrame, files: DataFrame) -> DataFrame:
@@ -79,48 +66,81 @@ def out_weight(edge: DataFrame) -> DataFrame:
     return edge.groupBy("src").agg(F.sum("weight").alias("out_weight"))
 
 
-def pagerank(nodes: DataFrame, edge: DataFrame, iterations: int = 15, damping: float = 0.85) -> DataFrame:
+def pagerank(nodes: DataFrame, edge: DataFrame, iterations: int = 15, damping: float = 0.85, keep: list[str] | None = None, small: int = SMALL) -> DataFrame:
     """rel_file, rank after a fixed number of rounds; the rank of files without outgoing edges is spread over all.
 
-    With A the transition matrix, each round is r' = d A r + c, where the scalar c holds teleport and dangling mass.  So
-    r after k rounds is a combination of v_j = (d A)^j 1, whose factors follow from the sums of each v_j over dangling files.  No
-    round waits for a scalar: it is one join with the transition table, which is dealt by source once and kept, and
-    one aggregation, written to the shared folder.  All rounds have the same plan, so its code is compiled once.
+    Both inputs become tables first, so their sizes are known: a graph of at most ``small`` files and ``small`` edges is one task's
+    work (its rounds take less time than planning one of them), a larger one is ranked in distributed rounds.  The result is a
+    table, whose path goes to ``keep``.
     """
     rounds, d = iterations if iterations > 0 else 15, damping if damping > 0 else 0.85
-    base = settled(nodes.select("rel_file").distinct())
-    n = base.count()
-    if n == 0:
-        return base.select("rel_file", F.lit(0.0).alias("rank"))
-    weight = out_weight(edge).where("out_weight > 0")
-    step = edge.join(weight, "src").select("src", "dst", (F.col("weight") / F.col("out_weight") * d).alias("share")).repartition("src").persist()
-    sources = settled(step.select(F.col("src").alias("rel_file")).distinct())
-    v = base.select("rel_file", F.lit(1.0).alias("v"))
-    iterates = [v]
+    spark, mine = nodes.sparkSession, []
+    files = stored(nodes.select("rel_file").distinct().withColumn("id", F.monotonically_increasing_id()), mine)
+    arcs = stored(edge.where("weight > 0").select("src", "dst", "weight"), mine)
+    if max(files.count(), arcs.count()) <= small:
+        one = F.lit(True).alias("one")
+        rank = files.select(one, "rel_file").groupBy("one").cogroup(arcs.select(one, "src", "dst", "weight").groupBy("one")).applyInPandas(functools.partial(_ranked, rounds=rounds, d=d), "rel_file string, rank double")
+    else:
+        rank = _rounds(files, arcs, rounds, d, mine)
+    out = stored(rank, keep)
+    discard(spark, mine)
+    return out
+
+
+def _ranked(key, files: pd.DataFrame, arcs: pd.DataFrame, rounds: int, d: float) -> pd.DataFrame:
+    del key
+    names = pd.Index(files["rel_file"])
+    src, dst, n = names.get_indexer(arcs["src"]), names.get_indexer(arcs["dst"]), len(names)
+    weight = arcs["weight"].to_numpy(float)
+    out = np.bincount(src, weights=weight, minlength=n)
+    share = weight / np.where(out > 0, out, 1)[src] if len(arcs) else weight
+    r = np.full(n, 1 / max(n, 1))
     for _ in range(rounds):
-        v = settled(step.join(v, step["src"] == v["rel_file"]).groupBy(F.col("dst").alias("rel_file")).agg(F.sum(F.col("v") * F.col("share")).alias("v")))
-        iterates.append(v)
-    tagged = reduce(DataFrame.union, [x.select("rel_file", "v", F.lit(j).alias("j")) for j, x in enumerate(iterates)])
-    sums = tagged.join(sources.withColumn("out", F.lit(True)), "rel_file", "left").groupBy("j").agg(F.sum("v").alias("all"), F.sum(F.when(F.col("out").isNull(), F.col("v"))).alias("lost"))
-    got = {r["j"]: r for r in sums.collect()}
-    whole = [(got[j]["all"] or 0.0) if j in got else 0.0 for j in range(rounds + 1)]
-    lost = [(got[j]["lost"] or 0.0) if j in got else 0.0 for j in range(rounds + 1)]
-    factor = [1.0 / n]
+        r = (1 - d) / n + d * r[out == 0].sum() / n + d * np.bincount(dst, weights=r[src] * share, minlength=n)
+    return pd.DataFrame({"rel_file": names, "rank": r / r.sum()})
+
+
+def _rounds(files: DataFrame, arcs: DataFrame, rounds: int, d: float, mine: list[str]) -> DataFrame:
+    """With A the transition matrix, each round is r' = d A r + c, where the scalar c holds teleport and dangling mass.  So
+    r after k rounds is a combination of v_j = (d A)^j 1, whose factors follow from the sums of each v_j over dangling files, and no
+    round waits for a scalar.  The transition table is dealt and sorted by source once and leads each file to itself, too, to
+    carry its values along: a round is one join without a shuffle and one aggregation.  Every ``ROUNDS_A_TABLE`` rounds their
+    values become a table, which bounds what a lost executor costs.
+    """
+    number = lambda c: files.select(F.col("rel_file").alias(c), F.col("id").alias(f"__{c}"))
+    rows = arcs.join(number("src"), "src").join(number("dst"), "dst").select(F.col("__src").alias("s"), F.col("__dst").alias("t"), "weight")
+    rows = rows.union(files.select(F.col("id").alias("s"), F.col("id").alias("t"), F.lit(0.0).alias("weight")))
+    all_out = F.sum("weight").over(Window.partitionBy("s"))
+    step = stored(rows.select("s", "t", (F.col("weight") == 0).alias("own"), F.when(F.col("weight") > 0, F.col("weight") / all_out * d).otherwise(0.0).alias("share"), (all_out > 0).alias("leads")), mine)
+    dealt = step.select("s", "t", "own", "share").repartition("s").sortWithinPartitions("s").persist()
+    now, first, tables = files.select("id", F.lit(1.0).alias("v0")), 0, []
+    for j in range(rounds):
+        carried = [F.sum(F.when(F.col("own"), F.col(f"v{i}"))).alias(f"v{i}") for i in range(first, j + 1)]
+        now = now.join(dealt, now["id"] == dealt["s"]).groupBy(F.col("t").alias("id")).agg(*carried, F.sum(F.col(f"v{j}") * F.col("share")).alias(f"v{j + 1}"))
+        if (j + 1) % ROUNDS_A_TABLE == 0 or j + 1 == rounds:
+            tables.append(stored(now, mine))
+            now, first = tables[-1].select("id", f"v{j + 1}"), j + 1
+    dealt.unpersist()
+    state = step.where("own").select(F.col("s").alias("id"), "leads")
+    for i, t in enumerate(tables):
+        state = state.join(t if i == 0 else t.drop(f"v{i * ROUNDS_A_TABLE}"), "id")
+    names = [f"v{j}" for j in range(rounds + 1)]
+    got = state.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in names], *[F.sum(F.when(~F.col("leads"), F.col(c))).alias(f"lost_{c}") for c in names]).first()
+    n, lost = got["n"], [got[f"lost_{c}"] or 0.0 for c in names]
+    factor = [1.0 / max(n, 1)]
     for _ in range(rounds):
-        factor = [(1 - d) / n + d * sum(f * x for f, x in zip(factor, lost, strict=False)) / n, *factor]
-    total = sum(f * x for f, x in zip(factor, whole, strict=True))
-    scaled = F.get(F.array(*[F.lit(f / total) for f in factor]), F.col("j"))
-    rank = settled(tagged.groupBy("rel_file").agg(F.sum(F.col("v") * scaled).alias("rank")))
-    step.unpersist()
-    return rank
+        factor = [(1 - d) / n + d * sum(f * x for f, x in zip(factor, lost, strict=False)) / n, *factor] if n else [*factor, 0.0]
+    total = sum(f * (got[c] or 0.0) for f, c in zip(factor, names, strict=True)) or 1.0
+    rank = reduce(lambda a, b: a + b, [F.col(c) * F.lit(f / total) for f, c in zip(factor, names, strict=True)])
+    return state.join(files, "id").select("rel_file", rank.alias("rank"))
 
 
-def reach(edge: DataFrame, seeds: DataFrame, depth: int = 3, key: list[str] | None = None) -> DataFrame:
+def reach(edge: DataFrame, seeds: DataFrame, depth: int = 3, key: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
     """Files that lead to the seeds over at most ``depth`` edges, with their least depth; seeds have depth 0.
 
     ``seeds`` has rel_file and the columns ``key``; all keys walk in the same rounds, never one by one.
     """
-    key = key or []
+    key, mine = key or [], []
     seen = seeds.select(*key, "rel_file").distinct().withColumn("depth", F.lit(0))
     front = seen
     for d in range(1, (depth if depth > 0 else 3) + 1):
@@ -129,6 +149,8 @@ def reach(edge: DataFrame, seeds: DataFrame, depth: int = 3, key: list[str] | No
             .select(*key, F.col("src").alias("rel_file")).distinct()
             .join(seen, [*key, "rel_file"], "left_anti").withColumn("depth", F.lit(d))
         )
-        front = settled(step)
+        front = stored(step, mine)
         seen = seen.union(front)
-    return seen
+    out = stored(seen, keep)
+    discard(edge.sparkSession, mine)
+    return out

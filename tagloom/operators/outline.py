@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tagloom.functions import columns as C
 from tagloom.schema import OUTLINE_KINDS, SCOPE_KINDS
 
+from .callers import BIN, binned
+
 MOST_DEFS = 12
 
 
@@ -24,7 +26,8 @@ def file_outline(tags: DataFrame, all_kinds: bool = False) -> DataFrame:
     defs = kept(tags, all_kinds).select("rel_file", "line", "end_line", "kind", "name", "ord")
     outer = defs.where(F.col("kind").isin(*SCOPE_KINDS) & (F.col("end_line") > F.col("line"))).select("rel_file", F.col("line").alias("ol"), F.col("end_line").alias("oe"), F.col("ord").alias("oo"))
     before = (F.col("ol") < F.col("line")) | ((F.col("ol") == F.col("line")) & ((F.col("oe") > F.col("end_line")) | ((F.col("oe") == F.col("end_line")) & (F.col("oo") < F.col("ord")))))
-    pairs = defs.join(outer, "rel_file").where(before & (F.col("oe") >= F.col("line")))
+    at = defs.withColumn("__bin", F.floor(F.col("line") / BIN))
+    pairs = at.join(binned(outer, "ol", "oe"), ["rel_file", "__bin"]).where(before & (F.col("oe") >= F.col("line")))
     count = pairs.groupBy("rel_file", "ord").agg(F.count(F.lit(1)).cast("int").alias("depth"))
     return defs.join(count, ["rel_file", "ord"], "left").select("rel_file", "line", "end_line", "kind", "name", F.coalesce("depth", F.lit(0)).alias("depth"))
 
@@ -58,7 +61,7 @@ def chosen(entries: DataFrame, ranks: DataFrame, used: int, most: int, reserve:
     sized = entries.join(ranks, "rel_file", "left").select("rel_file", "entry", F.coalesce("rank", F.lit(0.0)).alias("rank"), C.estimate_tokens(F.col("entry")).alias("t")).where(F.col("t") + used + reserve <= most)
     # of each size, no more than fit alone can be taken: the best of them by rank
     w = Window.partitionBy("t").orderBy(F.col("rank").desc(), "rel_file")
-    able = sized.withColumn("k", F.row_number().over(w)).where(F.col("k") * F.col("t") <= most)
+    able = sized.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).where(F.col("k") * F.col("t") <= most)  # the first bound is applied before the shuffle
     listed = able.groupBy().agg(F.sort_array(F.collect_list(F.struct((-F.col("rank")).alias("r"), "rel_file", "t"))).alias("x"))
     first = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("files"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import columns as C
 from tagloom.operators import blast, cache, callers, changes, deadcode, graph, outline, search
+from tagloom.scratch import stored
 from tagloom.streaming import sessions
 
 from . import adapters as A
@@ -209,8 +210,19 @@ def g8_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranks(tags: DataFrame) -> DataFrame:
-    e = graph.edges(tags, markdown=False)
-    return graph.pagerank(tags.select("rel_file"), e)
+    return graph.pagerank(tags.select("rel_file"), graph.edges(tags, markdown=False))
+
+
+_tables: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _shared(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The edges or ranks of a tag relation, computed once a session: all queries that need them read the same table."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _tables:
+        t = A.tags(spark, sf_dir)
+        _tables[key] = stored(graph.edges(t, markdown=False)) if name == "edges" else graph.pagerank(t.select("rel_file"), _shared(spark, sf_dir, "edges"))
+    return _tables[key]
 
 
 # ---------------------------------------------------------------- dead code and blast radius
@@ -240,8 +252,8 @@ _ORPHANS = f"orphan AS (SELECT rel_file, rank, {_category('rel_file')} AS catego
 @query("SELECT rel_file, round(rank, 9) AS rank, category FROM orphan WHERE rank <= 0.001 AND category = 'source'", A.TAGS, A.EDGES, RANKS, _ORPHANS)
 def dc5_orphan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = A.tags(spark, sf_dir)
-    e = graph.settled(graph.edges(t, markdown=False))
-    return deadcode.orphans(t.select("rel_file").distinct(), e, graph.pagerank(t, e)).select("rel_file", F.round("rank", 9).alias("rank"), "category")
+    e = _shared(spark, sf_dir, "edges")
+    return deadcode.orphans(t.select("rel_file").distinct(), e, _shared(spark, sf_dir, "ranks")).select("rel_file", F.round("rank", 9).alias("rank"), "category")
 
 
 @query(
@@ -251,8 +263,8 @@ def dc5_orphan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def dc6_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = A.tags(spark, sf_dir)
-    e = graph.settled(graph.edges(t, markdown=False))
-    o = deadcode.orphan_candidates(t.select("rel_file").distinct(), e, graph.pagerank(t, e), 1.0)
+    e = _shared(spark, sf_dir, "edges")
+    o = deadcode.orphan_candidates(t.select("rel_file").distinct(), e, _shared(spark, sf_dir, "ranks"), 1.0)
     return deadcode.summary(deadcode.dead_candidates(t), o)
 
 
@@ -272,19 +284,19 @@ def b1_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT rel_file, 0 AS depth FROM seed UNION ALL SELECT f, depth FROM reached", A.TAGS, A.EDGES, _BFS)
 def b2_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = A.tags(spark, sf_dir)
-    return graph.reach(graph.settled(graph.edges(t, markdown=False)), blast.seeds(t, _SYMBOL), 3)
+    return graph.reach(_shared(spark, sf_dir, "edges"), blast.seeds(t, _SYMBOL), 3)
 
 
 @query(f"SELECT r.f AS file, coalesce(t.name, '') AS symbol, coalesce(t.line, 0)::INTEGER AS line, r.depth FROM reached r LEFT JOIN tags t ON t.rel_file = r.f AND t.kind = 'ref' AND t.name = '{_SYMBOL}'", A.TAGS, A.EDGES, _BFS)
 def b3_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = A.tags(spark, sf_dir)
-    return blast.dependents(t, graph.settled(graph.edges(t, markdown=False)), _SYMBOL)
+    return blast.dependents(t, _shared(spark, sf_dir, "edges"), _SYMBOL)
 
 
 @query(f"SELECT '{_SYMBOL}' AS symbol, coalesce((SELECT rel_file || ':' || line FROM tags WHERE kind <> 'ref' AND name = '{_SYMBOL}' ORDER BY rel_file, line LIMIT 1), '') AS defined_in, count(DISTINCT f)::INTEGER AS total_files_affected FROM reached", A.TAGS, A.EDGES, _BFS)
 def b4_blast_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = A.tags(spark, sf_dir)
-    return blast.blast_radius(t, graph.settled(graph.edges(t, markdown=False)), _SYMBOL).select("symbol", "defined_in", "total_files_affected")
+    return blast.blast_radius(t, _shared(spark, sf_dir, "edges"), _SYMBOL).select("symbol", "defined_in", "total_files_affected")
 
 
 # ---------------------------------------------------------------- changes
@@ -325,7 +337,7 @@ def t3_t4_changed_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def t5_changed_blast(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = A.tags(spark, sf_dir, spans=True)
-    return changes.changed_blast(t, graph.settled(graph.edges(t, markdown=False)), changes.changed_symbols(t, A.hunks(spark, sf_dir)))
+    return changes.changed_blast(t, _shared(spark, sf_dir, "edges"), changes.changed_symbols(t, A.hunks(spark, sf_dir)))
 
 
 @query("""SELECT count(*) || ' changed symbols across ' || (SELECT count(DISTINCT file) FROM hunks) || ' files' || CASE WHEN count(*) FILTER (reason = 'body') > 0 THEN ' (' || count(*) FILTER (reason = 'body') || ' attributed to enclosing definitions)' ELSE '' END AS summary FROM changed""", A.TAGS, A.HUNKS, _HIT)
@@ -348,7 +360,7 @@ _SEARCH = f"""hits AS (SELECT CASE WHEN lower(name) = 'k1_3' THEN 0 WHEN starts_
 @query("SELECT class, rel_file, line, kind, name, row_number() OVER (ORDER BY class, kind = 'ref', round(rank, 12) DESC, rel_file, line)::INTEGER AS place FROM hits", A.TAGS, A.EDGES, RANKS, _SEARCH)
 def se1_se2_search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = A.tags(spark, sf_dir, spans=True)
-    return search.search(t, _ranks(t).select("rel_file", F.round("rank", 12).alias("rank")), " K1_3 ", refs=True).select("class", "rel_file", "line", "kind", "name", "place")
+    return search.search(t, _shared(spark, sf_dir, "ranks").select("rel_file", F.round("rank", 12).alias("rank")), " K1_3 ", refs=True).select("class", "rel_file", "line", "kind", "name", "place")
 
 
 @query(
@@ -359,7 +371,7 @@ def se1_se2_search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def se3_search_within_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = A.tags(spark, sf_dir, spans=True)
-    hits = search.search(t, _ranks(t).select("rel_file", F.round("rank", 12).alias("rank")), "k1_3", refs=True)
+    hits = search.search(t, _shared(spark, sf_dir, "ranks").select("rel_file", F.round("rank", 12).alias("rank")), "k1_3", refs=True)
     return search.within_budget(search.search_entries(hits), "place", 20, 600, 40).select("place", "entry")
 
 
@@ -371,7 +383,7 @@ def se3_search_within_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def m1_repo_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = A.tags(spark, sf_dir)
-    return search.repo_map(search.map_sections(t, _ranks(t).select("rel_file", F.round("rank", 12).alias("rank"))), 2048)
+    return search.repo_map(search.map_sections(t, _shared(spark, sf_dir, "ranks").select("rel_file", F.round("rank", 12).alias("rank"))), 2048)
 
 
 # ---------------------------------------------------------------- callers
@@ -488,7 +500,7 @@ def ca12_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ou3_directory_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = A.tags(spark, sf_dir, spans=True)
     counts = t.groupBy("rel_file").agg(F.max("line").alias("n_lines"))
-    return outline.chosen(outline.directory_entries(t, counts), _ranks(t).select("rel_file", F.round("rank", 12).alias("rank")), 40, 1500)
+    return outline.chosen(outline.directory_entries(t, counts), _shared(spark, sf_dir, "ranks").select("rel_file", F.round("rank", 12).alias("rank")), 40, 1500)
 
 
 # ---------------------------------------------------------------- cache, status, sessions

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import columns as C
 from tagloom.operators import blast, cache, callers, changes, deadcode, graph, outline, search
+from tagloom.scratch import stored
 from tagloom.sources import tree
 
 
@@ -58,10 +59,10 @@ class Project:
 
     @classmethod
     def of_tags(cls, tags: DataFrame, files: DataFrame, lines: DataFrame, root: str = "") -> Project:
-        tags = graph.settled(tags)
-        edges = graph.settled(graph.edges(tags))
-        ranks = graph.settled(graph.pagerank(tags.select("rel_file"), edges))
-        return cls(tags.sparkSession, graph.settled(files), tags, graph.settled(lines), edges, ranks, root)
+        tags = stored(tags)
+        edges = stored(graph.edges(tags))
+        ranks = stored(graph.pagerank(tags.select("rel_file"), edges))
+        return cls(tags.sparkSession, stored(files), tags, stored(lines), edges, ranks, root)
 
     @classmethod
     def open(cls, spark: SparkSession, root: str) -> Project:
@@ -131,8 +132,8 @@ class Project:
             text = diff or changes.git_diff(self.root, git_ref)
         except (ValueError, subprocess.CalledProcessError, OSError) as e:
             return {"changed_symbols": [], "summary": f"git diff failed: {e}"}
-        hunks = graph.settled(changes.parse_diff(self.spark.createDataFrame([(text,)], "diff string")))
-        found = graph.settled(changes.changed_symbols(self.tags, hunks))
+        hunks = stored(changes.parse_diff(self.spark.createDataFrame([(text,)], "diff string")))
+        found = stored(changes.changed_symbols(self.tags, hunks))
         rows = [r.asDict() for r in found.orderBy("file", "line").collect()]
         if include_blast_radius:
             size = {(r["symbol"], r["file"]): r["total_files_affected"] for r in changes.changed_blast(self.tags, self.edges, found).collect()}

@@ -100,7 +100,7 @@ def store_contents(spark: SparkSession, path: str) -> DataFrame:
 
 def parse(contents: DataFrame) -> DataFrame:
     """Tags of (rel_file, content): language by name or shebang, then the language's extractor; soft on errors."""
-    head = F.decode(F.substring("content", 1, 256), "UTF-8")
+    head = F.make_valid_utf8(F.substring("content", 1, 256).cast("string"))
     typed = contents.select("rel_file", C.detect_lang(F.col("rel_file"), head).alias("lang"), "content").where("lang <> ''")
 
     def run(frames):
@@ -115,7 +115,7 @@ def parse(contents: DataFrame) -> DataFrame:
 
 
 def lines_of(contents: DataFrame) -> DataFrame:
-    """rel_file, line, text; a trailing empty line is none."""
-    text = F.decode("content", "UTF-8")
+    """rel_file, line, text; a trailing empty line is none.  Bytes that are no UTF-8 become U+FFFD."""
+    text = F.make_valid_utf8(F.col("content").cast("string"))
     rows = contents.select("rel_file", F.split(text, "\n").alias("l")).select("rel_file", F.size("l").alias("n"), F.posexplode("l").alias("p", "text"))
     return rows.where(~((F.col("p") == F.col("n") - 1) & (F.col("text") == ""))).select("rel_file", (F.col("p") + 1).alias("line"), "text")
