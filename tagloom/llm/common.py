@@ -7,10 +7,6 @@ and never on the number of rows of a partition.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,82 +14,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tagloom.scratch import discard, stored  # noqa: F401 - the operators' own door to it
+
 CHUNK_BYTES = 4 << 20
-_scratch: dict[int, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is configured (tests)."""
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    key = id(spark.sparkContext)
-    if key not in _scratch:
-        _scratch[key] = "file://" + tempfile.mkdtemp(prefix="tagloom-scratch-")
-    return _scratch[key]
-
-
-def stored(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage and survives lost executors.
-
-    The path is appended to ``keep`` so that the caller can ``discard`` it; whatever is left goes at exit.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/tagloom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    if keep is not None:
-        keep.append(path)
-    if _stage is not None:
-        _of_stage.setdefault(_stage, []).append(path)
-    atexit.register(discard, spark, [path])
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_stage: str | None = None
-_of_stage: dict[str, list[str]] = {}
-
-
-def begin_stage(spark: SparkSession, name: str, docs: DataFrame | None) -> None:
-    """Tables stored from now on belong to stage ``name``; those of other stages go, unless ``docs`` still reads them."""
-    global _stage
-    _stage = name
-    read = _root_paths(docs) if docs is not None else ""
-    for other in [k for k in _of_stage if k != name]:
-        _of_stage[other] = [p for p in _of_stage[other] if p.rsplit("/", 1)[1] in read or discard(spark, [p])]
-
-
-def end_stage() -> None:
-    global _stage
-    _stage = None
-
-
-def _root_paths(df: DataFrame) -> str:
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    out = []
-    for i in range(leaves.size()):
-        leaf = leaves.apply(i)
-        if leaf.getClass().getSimpleName() == "LogicalRelation":
-            out.append(leaf.relation().location().rootPaths().mkString(","))
-    return ",".join(out)
-
-
-def discard(spark: SparkSession, paths: list[str]) -> None:
-    jvm = spark.sparkContext._jvm
-    if jvm is None or spark.sparkContext._jsc is None:
-        return
-    try:
-        for p in paths:
-            path = jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # noqa: BLE001 - the JVM may be gone at exit; the folder is scratch
-        return
-    paths.clear()
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

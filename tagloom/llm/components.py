@@ -6,6 +6,8 @@ round are a table in the shared folder, so a lost executor costs one round's par
 
 from __future__ import annotations
 
+import atexit
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,15 +26,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node that has an edge; root is the least node reachable.  ``edges``: columns a, b."""
+def components(edges: DataFrame, rounds: int = 60, kept: list[str] | None = None) -> DataFrame:
+    """(node, root) for every node that has an edge; root is the least node reachable.  ``edges``: columns a, b.
+
+    The path of the last round's table, which the result reads, goes to ``kept``.
+    """
     keep: list[str] = []
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), keep)
     seen = None
     for _ in range(rounds):
         mine: list[str] = []
         after = stored(_star(_star(now, True), False), mine)
-        sign = after.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"), F.count_if(F.lit(False)).alias("z")).first()
+        sign = after.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         discard(edges.sparkSession, keep)
         keep, now = mine, after
         if seen == (sign["n"], sign["h"]):
@@ -40,4 +45,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         seen = (sign["n"], sign["h"])
     else:
         raise RuntimeError("components did not settle")
+    if kept is not None:
+        kept += keep
+    else:
+        atexit.register(discard, edges.sparkSession, keep)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

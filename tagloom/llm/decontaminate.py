@@ -8,7 +8,8 @@ piece hits; hits on neighbouring diagonals form one region, and Myers' bit-paral
 The benchmark is used in blocks of at most ``BLOCK_BYTES``, so what is sent to the workers is bounded; every block is held
 against every document.
 
-Edge cases: null or empty texts have no match; items without letters or digits take no part; of several occurrences
+``item_id`` must be of an integer type.  Edge cases: null or empty texts have no match; items without letters or digits take no
+part; an item without an id is searched like any other and reported with a null id; of several occurrences
 the one with the least distance counts, then the first; repeated rows are reported each; empty tables give no rows.
 """
 
@@ -150,7 +151,7 @@ def _matcher(token: str, items, rate: float) -> Matcher:
 
 def blocks_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
     """Lists of (item_id, text bytes), each of about ``block_bytes`` at most (a longer item is a block of its own)."""
-    items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("bigint"), F.col("text").cast("binary").alias("text"))
+    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("bigint"), F.col("text").cast("binary").alias("text"))
     now, size = [], 0
     for r in items.distinct().orderBy("item_id", "text").toLocalIterator():
         raw = bytes(r["text"])

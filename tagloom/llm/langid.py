@@ -14,7 +14,6 @@ lang are never learnt from; ties go to the smaller language name; repeated rows
 from __future__ import annotations
 
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +29,20 @@ _SLAB = 8192
 _GROUP = 192
 
 
-@lru_cache(maxsize=1)
+_tables: dict[str, np.ndarray] = {}  # a worker's own; functions travel by value, so nothing here may need the module by name
+
+
 def _letters() -> np.ndarray:
     """Lower-case code point of each letter of the basic plane, 0 for what is no letter."""
+    if "letters" in _tables:
+        return _tables["letters"]
     out = np.zeros(1 << 16, np.uint32)
     for c in range(1 << 16):
         ch = chr(c)
         if unicodedata.category(ch)[0] == "L":
             low = ch.lower()
             out[c] = ord(low[0])
+    _tables["letters"] = out
     return out
 
 

@@ -39,13 +39,13 @@ def _cdf(mean: Column) -> Column:
     return F.when(mean > 0, F.aggregate(F.sequence(F.lit(1), top), first, step, lambda s: s["c"])).otherwise(F.array(F.lit(1.0)))
 
 
-def rates(documents: DataFrame, targets: dict[str, float] | None = None, alpha: float = ALPHA, volume: float = 1.0) -> DataFrame:
+def rates(documents: DataFrame, targets: dict[str, float] | None = None, alpha: float = ALPHA, volume: float = 1.0, kept: list[str] | None = None) -> DataFrame:
     """source, n, mean repetitions and cumulative probabilities of each source.
 
     ``targets`` gives weights by source; without it the weight of a source is its count to the power ``alpha``.
     ``volume`` is the expected output size over the input size.
     """
-    counts = stored(documents.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("n")))
+    counts = stored(documents.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("n")), kept)
     if targets is None:
         weight = F.pow(F.col("n").cast("double"), F.lit(alpha))
     else:
@@ -57,10 +57,10 @@ def rates(documents: DataFrame, targets: dict[str, float] | None = None, alpha:
     return counts.select("source", "n", (weight * F.lit(float(scale)) / F.col("n")).alias("mean")).select("source", "n", "mean", _cdf(F.col("mean")).alias("cdf"))
 
 
-def replicate(documents: DataFrame, targets: dict[str, float] | None = None, alpha: float = ALPHA, volume: float = 1.0, seed: str = SEED) -> DataFrame:
+def replicate(documents: DataFrame, targets: dict[str, float] | None = None, alpha: float = ALPHA, volume: float = 1.0, seed: str = SEED, kept: list[str] | None = None) -> DataFrame:
     """The documents' own columns, copy (from 1) and shuffle_key, in the order of shuffle_key."""
     documents = documents.drop("copy", "shuffle_key")
-    table_ = stored(rates(documents, targets, alpha, volume).select(F.col("source").alias("__source"), F.col("cdf").alias("__cdf")))
+    table_ = stored(rates(documents, targets, alpha, volume, kept).select(F.col("source").alias("__source"), F.col("cdf").alias("__cdf")), kept)
     if table_.count() <= BROADCAST_SOURCES:
         table_ = F.broadcast(table_)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))

@@ -85,9 +85,9 @@ def _featurise(batches):
 def fit(documents: DataFrame, labels: DataFrame, learn=None, rows: int = SAMPLE_ROWS, pairs: int = PAIRS) -> dict:
     """Fit on at most ``rows`` labelled documents (12 to 20 floats each reach the driver) and ``pairs`` pairs."""
     learn = fold("doc_id", 4) != 2 if learn is None else learn
-    sample = labelled_sample(documents, labels, "quality", learn, rows)
+    sample = labelled_sample(documents, labels, "quality", learn, rows).groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # of a repeated id the least text
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    got = sample.select("doc_id", "label", "text").mapInArrow(_featurise, f"doc_id {id_type}, label int, x array<double>").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    got = sample.select("doc_id", "label", "text").mapInArrow(_featurise, f"doc_id {id_type}, label int, x array<double>").toPandas().sort_values("doc_id")
     y = got["label"].to_numpy(np.int64) if len(got) else np.zeros(0, np.int64)
     if len(set(y.tolist())) < 2:
         return {"flat": True}

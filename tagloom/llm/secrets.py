@@ -171,9 +171,12 @@ def thresholds(tested: DataFrame, q: float = FALSE_DISCOVERIES) -> dict[int, int
     return out
 
 
-def scan(documents: DataFrame, keep: list[str], q: float = FALSE_DISCOVERIES, column: str = "secrets") -> DataFrame:
-    """``keep`` columns and ``column``: all spans as structs (start, o, kind, end), base and added, in order."""
-    tested = stored(found(documents, keep))
+def scan(documents: DataFrame, keep: list[str], q: float = FALSE_DISCOVERIES, column: str = "secrets", kept: list[str] | None = None) -> DataFrame:
+    """``keep`` columns and ``column``: all spans as structs (start, o, kind, end), base and added, in order.
+
+    The path of the working table that the result reads goes to ``kept``.
+    """
+    tested = stored(found(documents, keep), kept)
     least = thresholds(tested, q)
     ok = lambda t: (t["b"]["fisher"] >= NOT_RANDOM) & _any([(t["b"]["stratum"] == s) & (_bin(t["b"]["p"]) >= b) for s, b in sorted(least.items())])
     added = F.transform(F.filter("__tested", ok), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("o"), F.lit("random").alias("kind"), t["end"].alias("end")))
@@ -197,10 +200,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(F.col("__base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"), F.col("__n_tested").alias("n_tested"), (F.size("secrets") - F.size("__base")).cast("bigint").alias("n_random"))
 
 
-def redacted(documents: DataFrame, mark: str = "[SECRET]", q: float = FALSE_DISCOVERIES) -> DataFrame:
+def redacted(documents: DataFrame, mark: str = "[SECRET]", q: float = FALSE_DISCOVERIES, kept: list[str] | None = None) -> DataFrame:
     """The documents with every secret span replaced by ``mark``; n_chars, if there, follows; all other columns stay."""
     names = documents.columns
-    out = scan(documents, names, q, "__secrets")
+    out = scan(documents, names, q, "__secrets", kept)
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def step(a, s):

@@ -21,7 +21,7 @@ least non-null id reachable, or null if there is none; repeated rows are kept.
 
 from __future__ import annotations
 
-import re
+import atexit
 from itertools import combinations
 
 import numpy as np
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, mix, stored, table, with_field, words
+from .common import LOWER, chunks, discard, mix, stored, table, with_field, words
 from .components import components
 
 GROUPS = 5
@@ -144,14 +144,14 @@ def _ball(radius: int) -> Column:
     return out
 
 
-def links(fps: DataFrame, radius: int = 2, groups: int | None = None, dense: int = DENSE) -> DataFrame:
+def links(fps: DataFrame, radius: int = 2, groups: int | None = None, dense: int = DENSE, kept: list[str] | None = None) -> DataFrame:
     """Edges (a, b) that connect all distinct fingerprints (column fp) within ``radius`` bits; no pair inside a dense cell."""
     masks = _views(radius, groups or radius + 3)
     e = embedded(F.col("fp"))
     # a cell's key is a hash of its view and coordinates; what shares a key by chance fails the distance
     cells = fps.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(v), e.bitwiseAND(F.lit(_signed(m)))) for v, m in enumerate(masks)])).alias("cell"))
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    crowded = stored(cells.join(sizes, "cell"))
+    crowded = stored(cells.join(sizes, "cell"), kept)
     sparse = crowded.where(F.col("n") <= dense).select("cell", "fp")
     other = sparse.select("cell", F.col("fp").alias("fp2"))
     near = (
@@ -188,47 +188,48 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(documents: DataFrame, k: int = 5, radius: int = 3, tables: int = 3) -> DataFrame:
+def one_of_each(documents: DataFrame, k: int = 5, radius: int = 3, kept: list[str] | None = None) -> DataFrame:
     """One document (least doc_id) of each group of near copies; all columns.
 
     Two documents are near copies if the Jaccard similarity of their sets of ``k``-word shingles is 0.8 or more, and
-    groups are what chains of near copies connect.  Candidates share one of ``BANDS`` bands of ``BAND`` minima, or lie
-    within ``radius`` bits in one of ``tables`` fingerprints; each is held against the sets themselves.
+    groups are what chains of near copies connect.  Candidates share one of ``BANDS`` bands of ``BAND`` minima, or have
+    fingerprints within ``radius`` bits; each is held against the sets themselves.  Working tables go as soon as the groups are
+    known; the paths of the two that the result reads go to ``kept``.
     """
-    names = documents.columns
-    docs = stored(_sketched(documents.withColumn("__rid", F.monotonically_increasing_id()), k, tables))  # row numbers are fixed here
-    fps = [f"__fp{j}" for j in range(tables)]
+    names, spark, mine = documents.columns, documents.sparkSession, []
+    lasting: list[str] = [] if kept is None else kept
+    if kept is None:
+        atexit.register(discard, spark, lasting)
+    docs = stored(_sketched(documents.withColumn("__rid", F.monotonically_increasing_id()), k, 1), lasting)  # row numbers are fixed here
     held = ["n", "m0", "m1"]
-    nodes = stored(docs.groupBy("__d0", "__d1").agg(F.min("__rid").alias("node"), *[F.first(f"__{c}").alias(c) for c in held], *[F.first(c).alias(c) for c in fps], F.first("__bands").alias("bands")))
+    nodes = stored(docs.groupBy("__d0", "__d1").agg(F.min("__rid").alias("node"), *[F.first(f"__{c}").alias(c) for c in held], F.first("__fp0").alias("fp"), F.first("__bands").alias("bands")), mine)
     one = F.struct("node", *held)
     members = nodes.select(F.explode("bands").alias("key"), one.alias("x"))
-    crowded = stored(members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "key"))
-    near = None
-    for fp in fps:
-        # of equal fingerprints the first stands for all
-        least = stored(nodes.groupBy(F.col(fp).alias("fp")).agg(F.min(one).alias("x")))
-        same = nodes.join(least, nodes[fp] == least["fp"]).select(one.alias("x"), F.col("x").alias("y"))
-        pairs = links(least.select("fp"), radius)
-        far = pairs.join(least.select(F.col("fp").alias("a"), "x"), "a").join(least.select(F.col("fp").alias("b"), F.col("x").alias("y")), "b").select("x", "y")
-        found = stored(_alike(same.union(far)))
-        near = found if near is None else near.union(found)
+    crowded = stored(members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "key"), mine)
+    # of equal fingerprints the first stands for all
+    least = stored(nodes.groupBy("fp").agg(F.min(one).alias("x")), mine)
+    same = nodes.select("fp", one.alias("y")).join(least, "fp").select("x", "y")
+    pairs = links(least.select("fp"), radius, kept=mine)
+    far = pairs.join(least.select(F.col("fp").alias("a"), "x"), "a").join(least.select(F.col("fp").alias("b"), F.col("x").alias("y")), "b").select("x", "y")
+    near = stored(_alike(same.union(far)), mine)
     ids = crowded.select("x.node").union(near.select(F.col("a").alias("node"))).union(near.select(F.col("b").alias("node"))).distinct()
-    sets = stored(_sets(docs.select(F.col("__rid").alias("node"), "text").join(ids, "node", "left_semi"), k))
+    sets = stored(_sets(docs.select(F.col("__rid").alias("node"), "text").join(ids, "node", "left_semi"), k), mine)
     # first each band's documents against two of them, then all that this leaves apart against each other
     at = F.struct(F.xxhash64("key", "x.node").alias("at"), "x")
     hubs = crowded.groupBy("key").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).select("key", F.explode(F.array("lo.x", "hi.x")).alias("y"))
-    edges = stored(_verified(_alike(crowded.join(hubs, "key").select("x", "y")).union(near).distinct(), sets))
-    root = stored(components(edges))
-    placed = stored(crowded.join(root.select(F.col("node").alias("__node"), "root"), F.col("x.node") == F.col("__node"), "left").select("key", "x", F.coalesce("root", "x.node").alias("root")))
+    edges = stored(_verified(_alike(crowded.join(hubs, "key").select("x", "y")).union(near).distinct(), sets), mine)
+    root = components(edges, kept=mine)
+    placed = stored(crowded.join(root.select(F.col("node").alias("__node"), "root"), F.col("x.node") == F.col("__node"), "left").select("key", "x", F.coalesce("root", "x.node").alias("root")), mine)
     open_ = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    left = stored(placed.join(open_, "key"))
+    left = placed.join(open_, "key")
     other = left.select("key", F.col("x").alias("y"), F.col("root").alias("root2"))
-    rest = stored(_alike(left.join(other, "key").where("root < root2").select("x", "y")).distinct())
-    root = components(edges.union(_verified(rest, sets)))
+    rest = stored(_alike(left.join(other, "key").where("root < root2").select("x", "y")).distinct(), mine)
+    root = components(edges.union(_verified(rest, sets)), kept=mine)
     owner = nodes.join(root, "node", "left").select("__d0", "__d1", F.coalesce("root", "node").alias("root"))
     rows = docs.select("__rid", "doc_id", "__d0", "__d1").join(owner, ["__d0", "__d1"])
-    kept = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__rid").alias("r"))).alias("m")).select(F.col("m.r").alias("__rid"))
-    return docs.join(kept, "__rid", "left_semi").select(*names)
+    first = stored(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__rid").alias("r"))).alias("m")).select(F.col("m.r").alias("__rid")), lasting)
+    discard(spark, mine)
+    return docs.join(first, "__rid", "left_semi").select(*names)
 
 
 def _alike(pairs: DataFrame) -> DataFrame:

@@ -372,7 +372,7 @@ def test_edit_matches_are_those_of_dynamic_programming(spark, docs, empty):
             own[rng.randrange(len(own))] = rng.choice(["", "q", "xy", " ! "])
         texts.append(prose(i, rng.randrange(20)) + " " + "".join(own).upper() + ". " + prose(i + 1, rng.randrange(9)))
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    bench = spark.createDataFrame([*enumerate(items), (90, None), (None, "x"), (91, "?!")], "item_id bigint, text string")
+    bench = spark.createDataFrame([*enumerate(items), (90, None), (None, "zzz yyy xxx"), (91, "?!")], "item_id bigint, text string")
     norm = lambda t: decontaminate.normalised(np.frombuffer(t.encode(), np.uint8))[0].tobytes()
     want = {(d, n): distance(norm(it).strip(), norm(t)) for d, t in enumerate(texts) for n, it in enumerate(items)}
     want = {k: v for k, v in want.items() if v <= int(decontaminate.RATE * len(norm(items[k[1]]).strip()))}
