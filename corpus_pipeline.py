@@ -1,78 +1,5 @@
-"""Corpus pipeline: quality, near-duplicates, benchmark decontamination, secrets, mixing.
+"""Corpus pipeline of the training-data operators; see ``tagloom.llm.pipeline``."""
 
-Each stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; all but the last return the columns of
-``documents``.  ``run`` applies them in order, each result written to the shared folder and read back.
-"""
+from tagloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import functools
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tagloom.llm import decontaminate, mixing, quality, secrets, simhash
-from tagloom.llm.common import begin_stage, end_stage, stored, table
-
-ORACLE_SQL = None  # fitted scores, fingerprints and edit distances are beyond SQL; tests use brute force
-
-
-def _stage(f):
-    """Working tables of a stage stay until another stage begins, when its result has been written."""
-
-    @functools.wraps(f)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        begin_stage(spark, f.__name__, docs)
-        try:
-            return f(spark, docs, sf_dir)
-        finally:
-            end_stage()
-
-    return run_stage
-
-
-@_stage
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts (score of 0.7 or more)."""
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, "__quality").where(F.col("__quality") >= quality.CUT).drop("__quality")
-
-
-@_stage
-def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near copies (five-word shingles)."""
-    return simhash.one_of_each(docs, k=5)
-
-
-@_stage
-def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
-
-
-@_stage
-def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by a mark."""
-    return secrets.redacted(docs)
-
-
-@_stage
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to the target weights of their sources, in global random order."""
-    return mixing.replicate(docs)
-
-
-STAGES = [
-    ("quality", quality_stage),
-    ("near_duplicates", near_duplicate_stage),
-    ("decontamination", decontamination_stage),
-    ("secrets", secrets_stage),
-    ("mixing", mixing_stage),
-]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
