@@ -12,12 +12,13 @@ earlier start).
    windows: their windows are classed by the anchor's place in quarters, all windows of a class hold the same 81 bytes about
    the anchor, and where two stretches agree on these, the suffixes at the windows of that class are sorted and compared likewise.
    All equal strings but the first (least document, then place) are repeats.
-3. *Twice.*  The sort runs on each chunk of a partition first, so that a passage in a third of all documents leaves a chunk
-   once.  What is first in its chunk is dealt with its bytes by a hash of its anchor, and sorted again there; the repeats are sent
-   back to their documents as notes.
+3. *Twice.*  Stretches overlap, so only those whose anchor occurs elsewhere are worth sending: 32-bit keys of all anchors are
+   counted first, and each document bucket is told which of its anchors are shared.  The sort runs over these within the
+   document bucket, so that a passage in a third of all documents leaves a bucket once; what is first there is dealt with its bytes
+   by a hash of its anchor and sorted again.  The repeats are sent back to their documents as notes.
 
 Hashes only bring candidates together and order them; what is removed has been compared byte by byte.  A task holds its
-bucket's share, at most one copy of a stretch from each chunk; sorting buffers are cut at whole anchors (``SORT_BYTES``).
+bucket's share, at most one copy of a stretch from each document bucket; sorting buffers are cut at whole anchors (``SORT_BYTES``).
 
 ``doc_id`` must be of an integer type.  Edge cases: null and empty texts have no bytes and the hash of nothing; texts under
 ``WINDOW`` bytes are kept whole; null ids come after all others and are one document; rows of one doc_id count as one document
@@ -43,8 +44,7 @@ CLASSES = 4
 STEP = (WINDOW - GRAM) // CLASSES  # places of the anchor in a window, cut into classes
 BLOCK = 1 << 18
 CHUNK = 8 << 20
-STRETCHES = 300_000  # of one sort within a chunk
-SORT_BYTES = 16 << 20
+SORT_BYTES = 8 << 20
 BUCKET_BYTES = 32 << 20
 _PLACE = np.uint64((1 << 28) - 1)
 
@@ -346,49 +346,118 @@ def _packed_notes(notes: np.ndarray, buckets: int) -> tuple[list[int], list[byte
     return [b for b, _ in got], [x for _, x in got]
 
 
+def _keyed(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each anchor, and 32 bits that tell the anchors of a bucket apart (chance agreement costs a comparison)."""
+    h = mix(key)
+    return (h % np.uint64(buckets)).astype(np.int64), (h >> np.uint64(32)).astype(np.uint32)
+
+
+KEY = np.dtype([("b", "<u4"), ("k", "<u4")])
+
+
 def _anchors(buckets: int):
-    """What is first in its chunk, with its bytes, by anchor bucket (to = -1); notes of repeats within the chunk, to be passed on."""
+    """Keys of the anchors of a chunk by anchor bucket, with their document buckets; of equal ones two are enough."""
 
     def run(batches):
         for batch in batches:
             for part, data, off in chunks(batch, limit=CHUNK):
-                (ids, null), ver = _ids(part), _versions(data, off)
-                held: list = []
-                blocks = runs_of(data, off)
-                while True:
-                    block = next(blocks, None)
-                    if block is not None:
-                        held.append(block)
-                    if held and (block is None or sum(len(x[0]) for x in held) >= STRETCHES):
-                        yield _chunk(data, off, ids, null, ver, buckets, *[np.concatenate(x) for x in zip(*held, strict=True)])
-                        held = []
-                    if block is None:
-                        break
+                data = np.ascontiguousarray(data)
+                home = _dealt(_ids(part)[0], buckets)
+                got = [(*_keyed(_words(data, at + o, GRAM), buckets), home[r]) for r, at, _, o in runs_of(data, off)]
+                if not got:
+                    continue
+                bucket, key, own = (np.concatenate(x) for x in zip(*got, strict=True))
+                order = np.lexsort((key, own, bucket))
+                bucket, key, own = bucket[order], key[order], own[order]
+                third = np.zeros(len(key), bool)
+                third[2:] = (key[2:] == key[:-2]) & (own[2:] == own[:-2]) & (bucket[2:] == bucket[:-2])
+                bucket, key, own = bucket[~third], key[~third], own[~third]
+                cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+                packed = []
+                for i, j in zip(cut, np.r_[cut[1:], len(bucket)], strict=True):
+                    rows = np.zeros(j - i, KEY)
+                    rows["b"], rows["k"] = own[i:j], key[i:j]
+                    packed.append(_pack(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(packed, pa.binary())], ["bucket", "rows"])
 
     return run
 
 
-def _chunk(data, off, ids, null, ver, buckets, r, at, n, o) -> pa.RecordBatch:
-    rows = np.zeros(len(at), ROW)
-    rows["d"], rows["z"], rows["v"], rows["p"], rows["n"], rows["o"] = ids[r], null[r], ver[r], at - off[r], n, o
-    lo, hi = int(at.min()), int((at + n).max()) + WINDOW - 1
-    data, at = data[lo:hi], at - lo
-    key = _words(data, at + o, GRAM)
-    which, first, count = repeats(data, at, key, rows)
-    nb, notes = _packed_notes(_notes(rows[which], first, count), buckets)
-    row, first, count = _left(n, which, first, count)
-    # of fully repeated rows one is enough: notes go to every row of the same id and text
-    _, once = np.unique(np.rec.fromarrays([rows["d"][row], rows["z"][row], rows["v"][row], rows["p"][row] + first.astype(np.uint32)]), return_index=True)
-    row, first, count = row[once], first[once], count[once]
-    out = rows[row]
-    out["p"] += first.astype(np.uint32)
-    out["o"], out["n"] = o[row] - first, count
-    at, key = at[row] + first, key[row]
-    b, packed = [], []
-    for bucket, i in _by_bucket((mix(key) % np.uint64(buckets)).astype(np.int64), out):
-        b.append(bucket)
-        packed.append(_pack(out[i], _bytes_of(data, at[i], count[i] + WINDOW - 1).tobytes()))
-    return pa.RecordBatch.from_arrays([pa.array([-1] * len(b) + nb, pa.int64()), pa.array(b + [x % buckets for x in nb], pa.int64()), pa.array(packed + notes, pa.binary())], ["to", "bucket", "rows"])
+def _shared(t: pa.Table) -> pa.Table:
+    """The keys of an anchor bucket that occur more than once, for each document bucket that has them."""
+    rows = np.concatenate([_unpack(x, KEY)[0] for x in t.column("rows").to_pylist()])
+    kinds, back, count = np.unique(rows["k"], return_inverse=True, return_counts=True)
+    rows = np.unique(rows[count[back] > 1])
+    cut = np.flatnonzero(np.r_[True, rows["b"][1:] != rows["b"][:-1]]) if len(rows) else np.zeros(0, np.int64)
+    packed = [zstandard.ZstdCompressor(level=1).compress(rows["k"][i:j].tobytes()) for i, j in zip(cut, np.r_[cut[1:], len(rows)], strict=False)]
+    own = t.column("bucket")[0].as_py()
+    return pa.table({"bucket": pa.array(rows["b"][cut].astype(np.int64)), "anchors": pa.array([own] * len(cut), pa.int64()), "rows": pa.array(packed, pa.binary())})
+
+
+def _stretches(buckets: int):
+    """What is first in its document bucket, with its bytes, by anchor bucket (to = -1); notes of repeats within it, to be passed on."""
+
+    def run(texts: pa.Table, asks: pa.Table) -> pa.Table:
+        b, packed, to = [], [], []
+        if texts.num_rows and asks.num_rows:
+            open_ = zstandard.ZstdDecompressor()
+            asked = np.sort(np.concatenate([np.frombuffer(open_.decompress(x), np.uint32).astype(np.uint64) | np.uint64(a << 32) for a, x in zip(asks.column("anchors").to_pylist(), asks.column("rows").to_pylist(), strict=True)]))
+            held, size, pieces = [], 0, []
+            for i in range(texts.num_rows):
+                ids, null, ver, sizes = (np.array(texts.column(c)[i].as_py(), np.int64) for c in ("ids", "nulls", "vers", "sizes"))
+                off = np.r_[0, np.cumsum(sizes)]
+                data = np.frombuffer(open_.decompress(texts.column("blob")[i].as_py(), max_output_size=max(1, int(off[-1]))), np.uint8)
+                for r, at, n, o in runs_of(data, off):
+                    bucket, key = _keyed(_words(data, at + o, GRAM), buckets)
+                    code = key.astype(np.uint64) | (bucket.astype(np.uint64) << np.uint64(32))
+                    ok = asked[np.minimum(np.searchsorted(asked, code), len(asked) - 1)] == code
+                    r, at, n, o = r[ok], at[ok], n[ok], o[ok]
+                    rows = np.zeros(len(at), ROW)
+                    rows["d"], rows["z"], rows["v"], rows["p"], rows["n"], rows["o"] = ids[r], null[r], ver[r].view(np.uint64), at - off[r], n, o
+                    held.append((rows, at + size))
+                pieces.append(data)
+                size += len(data)
+            rows, at = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, ROW), np.zeros(0, np.int64))
+            data = np.concatenate(pieces) if pieces else np.zeros(0, np.uint8)
+            del pieces, held
+            found = []
+            for x, own, begin, key in _batches(data, at, rows):
+                which, first, count = repeats(own, begin, key, rows[x])
+                found.append(_notes(rows[x[which]], first, count))
+                row, first, count = _left(rows["n"][x].astype(np.int64), which, first, count)
+                out = rows[x[row]]
+                out["p"] += first.astype(np.uint32)
+                out["o"], out["n"] = out["o"] - first, count
+                # of fully repeated rows one is enough: notes go to every row of the same id and text
+                _, once = np.unique(out[["d", "z", "v", "p"]], return_index=True)
+                start = begin[row] + first
+                for bucket, i in _by_bucket(_keyed(key[row], buckets)[0][once], out[once]):
+                    j = once[i]
+                    to.append(-1)
+                    b.append(bucket)
+                    packed.append(_pack(out[j], _bytes_of(own, start[j], count[j] + WINDOW - 1).tobytes()))
+            if found:
+                nb, notes = _packed_notes(np.concatenate(found), buckets)
+                to, b, packed = to + nb, b + nb, packed + notes
+        return pa.table({"to": pa.array(to, pa.int64()), "bucket": pa.array(b, pa.int64()), "rows": pa.array(packed, pa.binary())})
+
+    return run
+
+
+def _batches(data: np.ndarray, at: np.ndarray, rows: np.ndarray):
+    """Stretches of whole anchors, about ``SORT_BYTES`` at a time: their numbers, their bytes, where each begins, and anchor keys."""
+    size = rows["n"].astype(np.int64) + WINDOW - 1
+    key = _words(data, at + rows["o"], GRAM)
+    order, group = _groups(key)
+    done = np.cumsum(size[order])
+    i = 0
+    while i < len(order):
+        j = int(np.searchsorted(done, (done[i - 1] if i else 0) + SORT_BYTES, side="right"))
+        j = int(np.searchsorted(group, group[min(max(j, i + 1), len(order)) - 1], side="right"))
+        x = order[i:j]
+        n = size[x]
+        yield x, _bytes_of(data, at[x], n), np.cumsum(n) - n, key[x]
+        i = j
 
 
 def _resolve(buckets: int):
@@ -403,26 +472,12 @@ def _resolve(buckets: int):
             rows, data = np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own])
             del own
             size = rows["n"].astype(np.int64) + WINDOW - 1
-            at = np.cumsum(size) - size
-            key = _words(data, at + rows["o"], GRAM)
-            order, group = _groups(key)
-            many = np.bincount(group)[group]
-            order, group = order[many > 1], group[many > 1]
-            # whole anchors, SORT_BYTES at a time
-            done = np.cumsum(size[order])
             found = []
-            i = 0
-            while i < len(order):
-                j = int(np.searchsorted(done, (done[i - 1] if i else 0) + SORT_BYTES, side="right"))
-                j = int(np.searchsorted(group, group[min(max(j, i + 1), len(order)) - 1], side="right"))
-                x = order[i:j]
-                n = size[x]
-                which, first, count = repeats(_bytes_of(data, at[x], n), np.cumsum(n) - n, key[x], rows[x])
+            for x, part, begin, key in _batches(data, np.cumsum(size) - size, rows):
+                which, first, count = repeats(part, begin, key, rows[x])
                 found.append(_notes(rows[x[which]], first, count))
-                i = j
-            if found:
-                nb, notes = _packed_notes(np.concatenate(found), buckets)
-                b, packed = b + nb, packed + notes
+            nb, notes = _packed_notes(np.concatenate(found), buckets)
+            b, packed = b + nb, packed + notes
         return pa.table({"bucket": pa.array(b, pa.int64()), "rows": pa.array(packed, pa.binary())})
 
     return run
@@ -487,9 +542,11 @@ def deduplicate(documents: DataFrame) -> DataFrame:
     documents = documents.select("doc_id", "text")
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(partitions(documents.sparkSession), -(-size // BUCKET_BYTES))
-    found = documents.mapInArrow(_anchors(buckets), "to bigint, bucket bigint, rows binary")
-    notes = found.groupBy("bucket").applyInArrow(_resolve(buckets), "bucket bigint, rows binary")
+    keys = documents.mapInArrow(_anchors(buckets), "bucket bigint, rows binary")
+    asks = keys.groupBy("bucket").applyInArrow(_shared, "bucket bigint, anchors bigint, rows binary")
     texts = documents.mapInArrow(_pack_texts(buckets), "bucket bigint, ids array<bigint>, nulls array<bigint>, vers array<bigint>, sizes array<bigint>, blob binary")
+    found = texts.groupBy("bucket").cogroup(asks.groupBy("bucket")).applyInArrow(_stretches(buckets), "to bigint, bucket bigint, rows binary")
+    notes = found.groupBy("bucket").applyInArrow(_resolve(buckets), "bucket bigint, rows binary")
     return texts.groupBy("bucket").cogroup(notes.groupBy("bucket")).applyInArrow(_final, FINAL)
 
 

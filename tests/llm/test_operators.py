@@ -444,7 +444,6 @@ def test_the_suffix_sort_and_the_byte_check_decide_what_goes(spark, monkeypatch,
 
 def test_repeats_across_chunks_and_in_periodic_texts(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "CHUNK", 3000)
-    monkeypatch.setattr(suffixes, "STRETCHES", 20)
     monkeypatch.setattr(suffixes, "SORT_BYTES", 2000)
     monkeypatch.setattr(suffixes, "BUCKET_BYTES", 5000)
     rng = random.Random(62)
