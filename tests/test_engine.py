@@ -227,3 +227,13 @@ def test_ca11_context_of_every_line(spark, tmp_path):
     got = registered(spark, tmp_path, "ca11_context", ["a\nb\nc\nd", "one"])
     assert [(f, s, n) for f, s, n, m in got if m == " "] == [("a/0.txt", 1, 2), ("a/0.txt", 2, 1), ("a/0.txt", 2, 3), ("a/0.txt", 3, 2), ("a/0.txt", 3, 4), ("a/0.txt", 4, 3)]
     assert [(f, s, n) for f, s, n, m in got if m == ">"] == [("a/0.txt", n, n) for n in (1, 2, 3, 4)] + [("a/1.txt", 1, 1)]
+
+
+def test_pagerank_in_one_task_and_in_rounds_agree(spark):
+    from tagloom.operators import graph
+
+    nodes = spark.createDataFrame([(x,) for x in "abcdef"], "rel_file string")
+    edge = spark.createDataFrame([("a", "b", 2.0), ("a", "c", 1.0), ("b", "c", 1.0), ("c", "a", 3.0), ("d", "a", 1.0)], "src string, dst string, weight double")
+    one, many = ({r["rel_file"]: r["rank"] for r in graph.pagerank(nodes, edge, small=s).collect()} for s in (100, 0))
+    assert set(one) == set("abcdef") and abs(sum(one.values()) - 1) < 1e-12
+    assert all(abs(one[x] - many[x]) < 1e-12 for x in one) and one["a"] > one["e"] == one["f"]
