@@ -227,10 +227,13 @@ def one_of_each(documents: DataFrame, k: int = 5, radius: int = 3, kept: list[st
     open_ = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     left = stored(placed.join(open_, "key"), mine)
     common = _common(sets.join(left.select("x.node").distinct(), "node", "left_semi")).where("common * 5 >= n * 4").select(F.col("node").alias("__node"), "common", "fine")
-    left = stored(left.join(common, F.col("x.node") == F.col("__node")).select("key", "x", "root", "common", "fine"), mine)
-    other = left.select("key", F.col("x").alias("y"), F.col("root").alias("root2"), F.col("common").alias("common2"), F.col("fine").alias("fine2"))
+    common = common.join(nodes.select(F.col("node").alias("__node"), "bands"), "__node")
+    left = stored(left.join(common, F.col("x.node") == F.col("__node")).select("key", "x", "root", "common", "fine", "bands"), mine)
+    other = left.select("key", F.col("x").alias("y"), F.col("root").alias("root2"), F.col("common").alias("common2"), F.col("fine").alias("fine2"), F.col("bands").alias("bands2"))
+    # a pair comes from the first band it shares alone; that band is open too, as the pair's roots differ
+    first_shared = F.get(F.filter(F.arrays_zip("bands", "bands2"), lambda z: z["bands"] == z["bands2"]), F.lit(0))["bands"]
     able = (F.least("common", "common2") * 9 >= (F.col("x.n") + F.col("y.n")) * 4) & (sum(F.bit_count(F.col("fine")[i].bitwiseXOR(F.col("fine2")[i])) for i in range(FINE // 64)) <= FINE_UNEQUAL)
-    rest = stored(_alike(left.join(other, "key").where((F.col("root") < F.col("root2")) & able).select("x", "y")).distinct(), mine)
+    rest = stored(_alike(left.join(other, "key").where((F.col("root") < F.col("root2")) & able & (F.col("key") == first_shared)).select("x", "y")), mine)
     root = components(edges.union(_verified(rest, sets)), kept=mine)
     owner = nodes.join(root, "node", "left").select("__d0", "__d1", F.coalesce("root", "node").alias("root"))
     rows = docs.select("__rid", "doc_id", "__d0", "__d1").join(owner, ["__d0", "__d1"])
