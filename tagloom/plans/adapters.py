@@ -20,11 +20,16 @@ def _rel_file():
     return F.concat(F.lit("p"), (day % 5).cast("string"), F.lit("/"), F.when(user % 10 == 9, "tests/").otherwise(""), F.lit("u"), user.cast("string"), F.lit("_"), day.cast("string"), ext)
 
 
-def tags(spark: SparkSession, sf_dir: str, spans: bool = False) -> DataFrame:
-    """rel_file, line, end_line, name, kind, lang, ord.  A class runs to the next class, a function to the next definition."""
+def tags(spark: SparkSession, sf_dir: str, spans: bool = False, wide: bool = False) -> DataFrame:
+    """rel_file, line, end_line, name, kind, lang, ord.  A class runs to the next class, a function to the next definition.
+
+    ``wide`` files hold all days of a user and few names, so that files refer to names of their own and callers have callers.
+    """
     e = table(spark, sf_dir, "events")
     user, rel = F.col("user_id"), _rel_file()
-    name = F.concat(F.when(F.col("event_id") % 3 == 0, "_").otherwise(""), F.lit("k"), F.regexp_extract("props", r"(\d+)", 1).cast("int").cast("string"), F.lit("_"), (F.col("event_id") % 37).cast("string"))
+    if wide:
+        rel = F.regexp_replace(F.regexp_replace(rel, "^p[0-9-]+", "p"), r"_[0-9-]+\.", ".")
+    name = F.concat(F.lit("k"), (F.col("event_id") % 37).cast("string")) if wide else F.concat(F.when(F.col("event_id") % 3 == 0, "_").otherwise(""), F.lit("k"), F.regexp_extract("props", r"(\d+)", 1).cast("int").cast("string"), F.lit("_"), (F.col("event_id") % 37).cast("string"))
     kind = F.when(F.col("event_type") == "signup", "function").when(F.col("event_type") == "purchase", "class").otherwise("ref")
     lang = F.when(user % 13 == 0, "md").when(user % 3 == 0, "go").when(user % 3 == 1, "python").otherwise("typescript")
     w = Window.partitionBy("rel_file").orderBy("ts", "event_id")
@@ -55,6 +60,8 @@ tags AS (SELECT rel_file, line, name, kind, lang, line AS ord,
              WHEN kind = 'function' THEN coalesce(min(CASE WHEN kind <> 'ref' THEN line END) OVER nxt - 1, max(line) OVER f) ELSE 0 END AS INTEGER) AS end_line
    FROM t0 WINDOW nxt AS (PARTITION BY rel_file ORDER BY line ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), f AS (PARTITION BY rel_file))"""
 
+WIDE = TAGS.replace("'p' || (d % 5)", "'p'").replace("|| user_id || '_' || d ||", "|| user_id ||").replace("CASE WHEN event_id % 3 = 0 THEN '_' ELSE '' END || 'k' || CAST(regexp_extract(props, '(\\d+)', 1) AS INT) || '_' || (event_id % 37)", "'k' || (event_id % 37)")
+
 EDGES = """
 defs AS (SELECT DISTINCT name AS key, rel_file FROM tags WHERE kind <> 'ref'),
 refs AS (SELECT DISTINCT name AS key, rel_file FROM tags WHERE kind = 'ref'),
@@ -109,3 +116,11 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINKS = """
 links AS (SELECT page_id, 'docs/s' || (page_id % 5) || '/u' || (page_id % 9) || '.md' AS source,
   replace((['../a{}.md', 'b{}.md#part', '#x{}', 'pic{}.PNG', 'https://x.org/{}', '[[U{}]]', '[[u{}|alias]]', '/abs/{}/c.md?q=1', '../../../{}.md', 'mailto:a{}@b', './d/../e{}.md', '//cdn/{}', 'u{}', 'x:{}'])[page_id % 14 + 1], '{}', CAST(page_id % 9 AS VARCHAR)) AS dest FROM pages)"""
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of the pages as Markdown: a heading and a link of each page."""
+    of = links(spark, sf_dir).select("page_id", F.col("source").alias("rel_file"), "dest")
+    row = F.explode(F.array(F.struct(F.lit("function").alias("kind"), F.concat(F.lit("Part "), (F.col("page_id") % 3).cast("string"), F.lit("!")).alias("name")), F.struct(F.lit("ref").alias("kind"), F.col("dest").alias("name")))).alias("t")
+    line = F.col("page_id").cast("int")
+    return of.select("rel_file", line.alias("line"), F.lit(0).alias("end_line"), row).select("rel_file", "line", "end_line", "t.name", "t.kind", F.lit("markdown").alias("lang"), F.col("line").alias("ord"))

@@ -101,9 +101,12 @@ def g2_symbol_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("rel_file", "line", C.symbol_key(*[F.col(c) for c in ("rel_file", "name", "kind", "lang")]).alias("key"))
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'view' THEN 'ref' WHEN event_type IN ('function') THEN event_type ELSE 'def' END AS kind FROM events")
+_CAPTURES = ["name.reference.call", "name.definition.function", "name.definition.method", "name.definition.class", "name.definition.interface", "name.definition.type", "name.definition.variable", "name.definition.constant", "name.definition.module", "name.reference", "doc"]
+
+
+@query("SELECT event_id, CASE WHEN starts_with(c, 'name.reference') THEN 'ref' WHEN c IN ('name.definition.module', 'doc') THEN 'def' ELSE string_split(c, '.')[3] END AS kind FROM (SELECT event_id, ([" + ", ".join(f"'{c}'" for c in _CAPTURES) + "])[event_id % 11 + 1] AS c FROM events)")
 def x18_kind_of_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    capture = F.when(F.col("event_type") == "view", "name.reference.call").otherwise(F.concat(F.lit("name.definition."), F.col("event_type")))
+    capture = F.get(F.array(*[F.lit(c) for c in _CAPTURES]), (F.col("event_id") % len(_CAPTURES)).cast("int"))
     return A.table(spark, sf_dir, "events").select("event_id", C.kind_of(capture).alias("kind"))
 
 
@@ -124,14 +127,14 @@ def r5_resolve_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.links(spark, sf_dir).select("page_id", C.resolve_relative(F.col("dest"), F.col("source")).alias("target"))
 
 
-@query(
-    f"""SELECT page_id, CASE WHEN dead THEN NULL WHEN wiki THEN (SELECT min(source) FROM links f WHERE regexp_replace(string_split(lower(f.source), '/')[-1], '\\.(md|markdown)$', '') = lower(t)) WHEN x IN ('!', '') THEN NULL ELSE x END AS target
-    FROM (SELECT page_id, t, wiki, t = '' OR {_EXTERNAL.format('t')} OR regexp_matches(lower(t), '\\.(png|jpg|jpeg|gif|webp|svg|pdf)$') AS dead, {_FOLD.format("(regexp_extract(source, '^(.*)/[^/]*$', 1) || '/' || t)")} AS x
+_RESOLVED = f"""resolved AS (SELECT page_id, source, CASE WHEN dead THEN NULL WHEN wiki THEN (SELECT min(source) FROM links f WHERE regexp_replace(string_split(lower(f.source), '/')[-1], '\\.(md|markdown)$', '') = lower(t)) WHEN x IN ('!', '') THEN NULL ELSE x END AS target
+    FROM (SELECT page_id, source, t, wiki, t = '' OR {_EXTERNAL.format('t')} OR regexp_matches(lower(t), '\\.(png|jpg|jpeg|gif|webp|svg|pdf)$') AS dead, {_FOLD.format("(regexp_extract(source, '^(.*)/[^/]*$', 1) || '/' || t)")} AS x
           FROM (SELECT page_id, source, string_split(string_split(string_split(d, '|')[1], '#')[1], '?')[1] AS t,
                        NOT (contains(d, '/') OR starts_with(d, '.') OR regexp_extract(string_split(string_split(d, '#')[1], '?')[1], '(\\.[^./]*)$', 1) <> '') AND NOT {_EXTERNAL.format('d')} AS wiki
-                FROM (SELECT page_id, source, regexp_replace(dest, '^\\[\\[|\\]\\]$', '', 'g') AS d FROM links)))""",
-    A.LINKS,
-)
+                FROM (SELECT page_id, source, regexp_replace(dest, '^\\[\\[|\\]\\]$', '', 'g') AS d FROM links))))"""
+
+
+@query("SELECT page_id, target FROM resolved", A.LINKS, _RESOLVED)
 def r1_r6_resolve_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = A.links(spark, sf_dir)
     out = graph.resolve_links(links.select("page_id", F.col("source").alias("rel_file"), F.col("dest").alias("name")), links.select(F.col("source").alias("rel_file")).distinct())
@@ -166,9 +169,28 @@ def g5_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.edges(A.tags(spark, sf_dir), markdown=False)
 
 
-@query("SELECT r.key, r.rel_file FROM refs r JOIN defs d ON r.key = d.key AND r.rel_file = d.rel_file", A.TAGS, A.EDGES)
+@query("SELECT r.key, r.rel_file FROM refs r JOIN defs d ON r.key = d.key AND r.rel_file = d.rel_file", A.WIDE, A.EDGES)
 def g6_shadowed_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.shadowed(A.tags(spark, sf_dir))
+    return graph.shadowed(A.tags(spark, sf_dir, wide=True))
+
+
+@query(
+    """SELECT r.source AS src, d.source AS dst, CAST(count(*) AS DOUBLE) AS weight FROM (SELECT DISTINCT source, target FROM resolved WHERE target <> source) r
+    JOIN (SELECT DISTINCT source FROM links) d ON d.source = r.target GROUP BY 1, 2""",
+    A.LINKS, _RESOLVED,
+)
+def g4_markdown_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.edges(A.notes(spark, sf_dir))
+
+
+@query(
+    r"""SELECT DISTINCT source AS rel_file, source || '#part-' || (page_id % 3) AS key, 'def' AS side FROM links UNION SELECT source, source, 'def' FROM links
+    UNION SELECT source, target, 'ref' FROM resolved WHERE target IS NOT NULL""",
+    A.LINKS, _RESOLVED,
+)
+def g4_markdown_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = A.notes(spark, sf_dir)
+    return graph.definitions(t).withColumn("side", F.lit("def")).union(graph.references(t).withColumn("side", F.lit("ref")))
 
 
 @query("SELECT key, rel_file, 'def' AS side FROM defs UNION ALL SELECT key, rel_file, 'ref' FROM refs", A.TAGS, A.EDGES)
@@ -440,14 +462,17 @@ def ca5_ca6_text_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return callers.text_sites(none, files, ls, "token").select("rel_file", "line", "text")
 
 
-_DEEP = f"""lv1 AS (SELECT DISTINCT t.rel_file, t.line, s.fn_name, s.scope FROM tags t LEFT JOIN scope s USING (rel_file, line) WHERE t.kind = 'ref' AND t.name = '{_SYMBOL}' AND NOT {_test_of('t.rel_file')}),
-nx AS (SELECT fn_name AS name, count(*) AS n FROM lv1 WHERE fn_name IS NOT NULL AND fn_name <> '{_SYMBOL}' GROUP BY 1)"""
+_CALLED = "k5"
+_DEEP = f"""own AS (SELECT DISTINCT rel_file FROM tags WHERE kind <> 'ref' AND name = '{_CALLED}'),
+lv1 AS (SELECT DISTINCT t.rel_file, t.line, s.fn_name, s.scope FROM tags t LEFT JOIN scope s USING (rel_file, line) WHERE t.kind = 'ref' AND t.name = '{_CALLED}' AND NOT {_test_of('t.rel_file')}
+  AND NOT (t.rel_file IN (SELECT rel_file FROM own) AND (SELECT count(*) FROM own) >= 2)),
+nx AS (SELECT fn_name AS name, count(*) AS n FROM lv1 WHERE fn_name IS NOT NULL AND fn_name <> '{_CALLED}' GROUP BY 1)"""
 
 
-@query(f"SELECT 1 AS depth, '{_SYMBOL}' AS name, count(*) AS sites FROM lv1 HAVING count(*) > 0 UNION ALL SELECT 2, nx.name, count(DISTINCT (t.rel_file, t.line)) FROM nx JOIN tags t ON t.name = nx.name AND t.kind = 'ref' GROUP BY 2", A.TAGS, _SCOPE, _DEEP)
+@query(f"SELECT 1 AS depth, '{_CALLED}' AS name, count(*) AS sites FROM lv1 HAVING count(*) > 0 UNION ALL SELECT 2, nx.name, count(DISTINCT (t.rel_file, t.line)) FROM nx JOIN tags t ON t.name = nx.name AND t.kind = 'ref' GROUP BY 2", A.WIDE, _SCOPE, _DEEP)
 def ca9_callers_depth2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sites by level and name; on the second level those of all statuses."""
-    out = callers.callers(A.tags(spark, sf_dir, spans=True), None, _SYMBOL, file="-", depth=2)
+    out = callers.callers(A.tags(spark, sf_dir, spans=True, wide=True), None, _CALLED, file="-", depth=2)
     return out.where("depth = 2 OR status = 'shown'").groupBy("depth", "name").agg(F.count(F.lit(1)).alias("sites"))
 
 
