@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import subprocess
 from dataclasses import dataclass
 
@@ -13,6 +14,7 @@ from tagloom.functions import columns as C
 from tagloom.operators import blast, cache, callers, changes, deadcode, graph, outline, search
 from tagloom.scratch import stored
 from tagloom.sources import tree
+from tagloom.sources.store import TagCache
 
 
 def estimate(text: str) -> int:
@@ -56,20 +58,34 @@ class Project:
     edges: DataFrame
     ranks: DataFrame
     root: str = ""
+    cache: TagCache | None = None
 
     @classmethod
-    def of_tags(cls, tags: DataFrame, files: DataFrame, lines: DataFrame, root: str = "") -> Project:
+    def of_tags(cls, tags: DataFrame, files: DataFrame, lines: DataFrame, root: str = "", kept: TagCache | None = None) -> Project:
         tags = stored(tags)
         edges = stored(graph.edges(tags))
         ranks = stored(graph.pagerank(tags.select("rel_file"), edges))
-        return cls(tags.sparkSession, stored(files), tags, stored(lines), edges, ranks, root)
+        return cls(tags.sparkSession, stored(files), tags, stored(lines), edges, ranks, root, kept)
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str) -> Project:
-        files = tree.tree_files(spark, root)
+    def open(cls, spark: SparkSession, root: str, cache_folder: str = "") -> Project:
+        """The tree below ``root``; with ``cache_folder`` only files whose time differs from the cached one are parsed."""
+        files = stored(tree.tree_files(spark, root))
         everything = tree.tree_contents(files, root)
-        plain = _texts(files, root)
-        return cls.of_tags(tree.parse(everything), files, tree.lines_of(everything.union(plain)), root)
+        lines = tree.lines_of(everything.union(_texts(files, root)))
+        if not cache_folder:
+            return cls.of_tags(tree.parse(everything), files, lines, root)
+        kept = TagCache(spark, f"{cache_folder.rstrip('/')}/{cache.fingerprint(os.path.realpath(root))[:16]}")
+        cached, tags = kept.load()
+        known = stored(cache.split_hits(files, cached))
+        changed = known.where("NOT hit").select("rel_file")
+        if changed.isEmpty() and cached.count() == known.count():
+            return cls.of_tags(tags, files, lines, root, kept)
+        still = tags.join(known.where("hit").select("rel_file"), "rel_file", "left_semi")
+        fresh = tree.parse(tree.tree_contents(files.join(changed, "rel_file", "left_semi"), root))
+        out = cls.of_tags(cache.refreshed(still, changed, fresh), files, lines, root, kept)
+        kept.save(out.files, out.tags)
+        return out
 
     def refresh(self, changed: list[str]) -> Project:
         """The project after ``changed`` files: theirs are parsed anew or dropped; graph and ranks are rebuilt."""
@@ -78,14 +94,17 @@ class Project:
         content = tree.tree_contents(now, self.root)
         files = self.files.join(names, "rel_file", "left_anti").unionByName(now)
         lines = self.lines.join(names, "rel_file", "left_anti").unionByName(tree.lines_of(content.union(_texts(now, self.root))))
-        return Project.of_tags(cache.refreshed(self.tags, names, tree.parse(content)), files, lines, self.root)
+        out = Project.of_tags(cache.refreshed(self.tags, names, tree.parse(content)), files, lines, self.root, self.cache)
+        if self.cache:
+            self.cache.save(out.files, out.tags)
+        return out
 
     # ------------------------------------------------------------ answers
 
     def repo_map(self, map_tokens: int = 8192, chat_files=None, force_refresh: bool = False) -> str:
         """``chat_files`` is accepted and has no effect; ``force_refresh`` rebuilds graph and ranks."""
         del chat_files
-        now = Project.of_tags(self.tags, self.files, self.lines, self.root) if force_refresh else self
+        now = Project.of_tags(self.tags, self.files, self.lines, self.root, self.cache) if force_refresh else self
         rows = search.repo_map(search.map_sections(now.tags, now.ranks), map_tokens).orderBy("place").collect()
         return "".join(r["section"] for r in rows)
 

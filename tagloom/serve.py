@@ -203,10 +203,11 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("root")
     parser.add_argument("--agent", action="store_true")
     parser.add_argument("--tools", default="")
+    parser.add_argument("--cache", default="", help="folder of the tag cache, in any store Spark reads")
     args = parser.parse_args(argv)
     tools = selected(args.tools, args.agent)
     spark = SparkSession.builder.appName("tagloom").getOrCreate()
-    Server(Project.open(spark, os.path.realpath(args.root)), tools, args.agent).serve()
+    Server(Project.open(spark, os.path.realpath(args.root), args.cache), tools, args.agent).serve()
 
 
 if __name__ == "__main__":

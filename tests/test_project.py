@@ -10,7 +10,8 @@ import pytest
 
 from tagloom.project import Project
 from tagloom.serve import BadArgument, Catalog, Server, as_bool, as_int, relative, selected
-from tagloom.sources import tree
+from tagloom.schema import TAG
+from tagloom.sources import store, tree
 from tagloom.streaming import sessions
 
 FILES = {
@@ -127,3 +128,41 @@ def test_stream_of_changes(spark, tmp_path):
     finally:
         q.stop()
     assert sorted(f for batch in seen for f in batch) == ["a.py", "b.py", "c.py"]
+
+
+def test_a_second_open_parses_changed_files_only(spark, tmp_path, monkeypatch):
+    top, folder = tmp_path / "tree", f"file://{tmp_path}/cache"
+    top.mkdir()
+    for name in ("a.py", "b.py", "c.py", "none.py"):
+        (top / name).write_text("" if name == "none.py" else f"def of_{name[0]}():\n    return of_a()\n")
+    parsed, parse = [], tree.parse
+    monkeypatch.setattr(tree, "parse", lambda contents: parsed.append(sorted(r["rel_file"] for r in contents.select("rel_file").collect())) or parse(contents))
+
+    def tags(p):
+        return sorted(map(tuple, p.tags.select("rel_file", "line", "end_line", "name", "kind", "lang", "ord").collect()))
+
+    first = tags(Project.open(spark, str(top), folder))
+    assert parsed == [["a.py", "b.py", "c.py", "none.py"]]
+    assert tags(Project.open(spark, str(top), folder)) == first and len(parsed) == 1
+    (top / "b.py").write_text("def other():\n    return 1\n")
+    os.utime(top / "b.py", ns=(1, 1))
+    (top / "c.py").unlink()
+    third = Project.open(spark, str(top), folder)
+    assert parsed[1:] == [["b.py"]]
+    plain = tags(Project.open(spark, str(top)))
+    assert tags(third) == plain and {t[0] for t in plain} == {"a.py", "b.py"}
+    (top / "a.py").write_text("def fresh():\n    pass\n")
+    os.utime(top / "a.py", ns=(2, 2))
+    assert "fresh" in {t[3] for t in tags(third.refresh(["a.py"]))}
+    parsed.clear()
+    assert "fresh" in {t[3] for t in tags(Project.open(spark, str(top), folder))} and parsed == []  # the refresh was saved
+    assert len(list((tmp_path / "cache").glob("*/*/*/files"))) == 1  # older generations are gone
+
+
+def test_tags_of_another_version_are_not_read(spark, tmp_path):
+    folder, files = f"file://{tmp_path}", spark.createDataFrame([("a.py", 1)], store.FILES)
+    none = spark.createDataFrame([], TAG)
+    store.TagCache(spark, folder, "one").save(files, none)
+    assert [r["rel_file"] for r in store.TagCache(spark, folder, "one").load()[0].collect()] == ["a.py"]
+    assert store.TagCache(spark, folder, "two").load()[0].count() == 0
+    assert store.version() == store.version()
