@@ -21,8 +21,8 @@ def search_identifiers(tags: DataFrame, query: str, filter: str = "both", limit:
     return out.orderBy("rel_file", "line", "ord").limit(limit if limit > 0 else 50)
 
 
-def search(tags: DataFrame, ranks: DataFrame, query: str, refs: bool = False, include_tests: bool = False, path: str = "") -> DataFrame:
-    """Hits with their class (0 exact, 1 prefix, 2 inside) and place in the ranking."""
+def matched(tags: DataFrame, query: str, refs: bool = False, include_tests: bool = False, path: str = "") -> DataFrame:
+    """Tags outside Markdown whose name holds ``query`` in any case, with their class: 0 exact, 1 prefix, 2 inside."""
     q = query.strip().lower()
     name = F.lower("name")
     hit = tags.where((F.col("lang") != "markdown") & F.contains(name, F.lit(q)) & C.under(F.col("rel_file"), path))
@@ -30,9 +30,19 @@ def search(tags: DataFrame, ranks: DataFrame, query: str, refs: bool = False, in
         hit = hit.where("kind <> 'ref'")
     if not include_tests:
         hit = hit.where(~C.is_test(F.col("rel_file")))
-    hit = hit.withColumn("class", F.when(name == q, 0).when(F.startswith(name, F.lit(q)), 1).otherwise(2)).join(ranks, "rel_file", "left")
-    order = Window.orderBy("class", F.col("kind") == "ref", F.coalesce("rank", F.lit(0.0)).desc(), "rel_file", "line", "ord")
-    return hit.select("class", "rel_file", "line", "end_line", "kind", "name", F.row_number().over(order).alias("place"))
+    return hit.withColumn("class", F.when(name == q, 0).when(F.startswith(name, F.lit(q)), 1).otherwise(2))
+
+
+def search(tags: DataFrame, ranks: DataFrame, query: str, refs: bool = False, include_tests: bool = False, path: str = "", most: int = 0) -> DataFrame:
+    """Hits with their class and place in the ranking.
+
+    Places of all hits are one sorted run; an answer of at most ``most`` hits takes these by a distributed top-k first.
+    """
+    hit = matched(tags, query, refs, include_tests, path).join(ranks, "rel_file", "left")
+    order = ["class", F.col("kind") == "ref", F.coalesce("rank", F.lit(0.0)).desc(), "rel_file", "line", "ord"]
+    if most > 0:
+        hit = hit.orderBy(*order).limit(most)
+    return hit.select("class", "rel_file", "line", "end_line", "kind", "name", F.row_number().over(Window.orderBy(*order)).alias("place"))
 
 
 def search_entries(hits: DataFrame) -> DataFrame:
@@ -41,7 +51,11 @@ def search_entries(hits: DataFrame) -> DataFrame:
 
 
 def within_budget(entries: DataFrame, order: str, used: int, most: int, reserve: int) -> DataFrame:
-    """The longest prefix of ``entries`` whose token estimates fit: a running sum, cut at the first overflow."""
+    """The longest prefix of ``entries`` whose token estimates fit: a running sum, cut at the first overflow.
+
+    No entry costs less than a token, so only ``most`` of them can fit and the sum runs over no more.
+    """
+    entries = entries.orderBy(order).limit(most)
     w = Window.orderBy(order)
     return entries.withColumn("tokens", F.sum(C.estimate_tokens(F.col("entry"))).over(w)).where(F.col("tokens") + used + reserve <= most)
 

@@ -393,7 +393,7 @@ def se1_se2_search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def se3_search_within_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = A.tags(spark, sf_dir, spans=True)
-    hits = search.search(t, _shared(spark, sf_dir, "ranks").select("rel_file", F.round("rank", 12).alias("rank")), "k1_3", refs=True)
+    hits = search.search(t, _shared(spark, sf_dir, "ranks").select("rel_file", F.round("rank", 12).alias("rank")), "k1_3", refs=True, most=600)
     return search.within_budget(search.search_entries(hits), "place", 20, 600, 40).select("place", "entry")
 
 

@@ -116,13 +116,14 @@ class Project:
         if not query.strip():
             return "query is empty\n"
         w = Budget(max_tokens, 600)
-        hits = search.search(self.tags, self.ranks, query, refs, True, path)
-        test = C.is_test(F.col("rel_file"))
-        hidden = 0 if include_tests else hits.where(test).count()
-        shown = hits if include_tests else hits.where(~test)
+        n = search.matched(self.tags, query, refs, True, path).agg(F.count(F.lit(1)).alias("all"), F.count_if(C.is_test(F.col("rel_file"))).alias("test")).first()
+        hidden = 0 if include_tests else n["test"]
+        total = n["all"] - hidden
+        # no entry costs less than a token, so no more than the budget can be shown
+        shown = search.search(self.tags, self.ranks, query, refs, include_tests, path, w.most)
         entries = [r["entry"] for r in search.search_entries(shown).orderBy("place").collect()]
-        w.add(f"{json.dumps(query, ensure_ascii=False)}: {len(entries)} {'definitions and references' if refs else 'definitions'}" + (f", {hidden} more in tests (include_tests=true)" if hidden else "") + "\n")
-        if left := w.take(entries, 40):
+        w.add(f"{json.dumps(query, ensure_ascii=False)}: {total} {'definitions and references' if refs else 'definitions'}" + (f", {hidden} more in tests (include_tests=true)" if hidden else "") + "\n")
+        if left := total - len(entries) + w.take(entries, 40):
             w.add(f"[truncated at max_tokens={w.most}: {left} more; use a longer query or path=]\n")
         return w.text()
 

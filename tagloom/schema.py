@@ -13,12 +13,8 @@ TAG = T.StructType([
     T.StructField("lang", T.StringType(), False),
     T.StructField("ord", T.IntegerType(), False),
 ])
-FILE = T.StructType([T.StructField("rel_file", T.StringType(), False), T.StructField("size", T.LongType(), False)])
-HUNK = T.StructType([T.StructField("file", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-EVENT = T.StructType([T.StructField("ts", T.TimestampType()), T.StructField("project", T.StringType()), T.StructField("type", T.StringType()), T.StructField("fields", T.MapType(T.StringType(), T.StringType()))])
 
 # The vocabulary of the tag relation.
 DEFINITION_KINDS = ("function", "method", "class", "interface", "type", "variable", "constant")
 SCOPE_KINDS = ("function", "method", "class")
 OUTLINE_KINDS = ("function", "method", "class", "interface", "type", "def")
-EVENT_TYPES = ("project_added", "mcp_listener_error", "project_idle", "project_rehydrated", "reindex_started", "file_changed", "cache_hit", "reindex_complete", "mcp_call")
