@@ -38,6 +38,7 @@ GROUPS = 5
 DENSE = 400
 BANDS, BAND, UNEQUAL = 20, 5, 25  # a pair at Jaccard 0.8 shares a band with probability 1 - (1 - 0.8**5)**20 = 0.9996
 FINE, FINE_UNEQUAL = 512, 85  # at Jaccard 0.8 the mean is 51.2 and the deviation 6.8: five deviations pass
+BITMAPS = 8192  # of 4 KB and 32,768 row numbers each: 32 MB at most are broadcast
 _EVEN = 0x5555555555555555
 
 
@@ -195,13 +196,15 @@ def one_of_each(documents: DataFrame, k: int = 5, radius: int = 3, kept: list[st
     Two documents are near copies if the Jaccard similarity of their sets of ``k``-word shingles is 0.8 or more, and
     groups are what chains of near copies connect.  Candidates share one of ``BANDS`` bands of ``BAND`` minima, or have
     fingerprints within ``radius`` bits; each is held against the sets themselves.  Working tables go as soon as the groups are
-    known; the paths of the two that the result reads go to ``kept``.
+    known; the paths of the two that the result reads go to ``kept``.  Texts are read where they lie and not dealt out, as long
+    as ``BITMAPS`` bitmaps of row numbers hold all rows.
     """
     names, spark, mine = documents.columns, documents.sparkSession, []
     lasting: list[str] = [] if kept is None else kept
     if kept is None:
         atexit.register(discard, spark, lasting)
     docs = stored(_sketched(documents.withColumn("__rid", F.monotonically_increasing_id()), k, 1), lasting)  # row numbers are fixed here
+    few = docs.select(F.bitmap_bucket_number("__rid")).distinct().count() <= BITMAPS
     held = ["n", "m0", "m1"]
     nodes = stored(docs.groupBy("__d0", "__d1").agg(F.min("__rid").alias("node"), *[F.first(f"__{c}").alias(c) for c in held], F.first("__fp0").alias("fp"), F.first("__bands").alias("bands")), mine)
     one = F.struct("node", *held)
@@ -213,8 +216,8 @@ def one_of_each(documents: DataFrame, k: int = 5, radius: int = 3, kept: list[st
     pairs = links(least.select("fp"), radius, kept=mine)
     far = pairs.join(least.select(F.col("fp").alias("a"), "x"), "a").join(least.select(F.col("fp").alias("b"), F.col("x").alias("y")), "b").select("x", "y")
     near = stored(_alike(same.union(far)), mine)
-    ids = crowded.select("x.node").union(near.select(F.col("a").alias("node"))).union(near.select(F.col("b").alias("node"))).distinct()
-    sets = stored(_sets(docs.select(F.col("__rid").alias("node"), "text").join(ids, "node", "left_semi"), k), mine)
+    ids = crowded.select(F.col("x.node").alias("__rid")).union(near.select("a")).union(near.select("b")).distinct()
+    sets = stored(_sets(_numbered(docs.select("__rid", "text"), ids, few, mine).withColumnRenamed("__rid", "node"), k), mine)
     # first each band's documents against two of them, one of which is the document whose bands are the fullest (what copies
     # were made from keeps the bands that each copy shares with it), then what this leaves apart against each other
     full = crowded.groupBy("x.node").agg(F.sum("c").alias("full")).select(F.col("node").alias("__node"), "full")
@@ -237,9 +240,24 @@ def one_of_each(documents: DataFrame, k: int = 5, radius: int = 3, kept: list[st
     root = components(edges.union(_verified(rest, sets)), kept=mine)
     owner = nodes.join(root, "node", "left").select("__d0", "__d1", F.coalesce("root", "node").alias("root"))
     rows = docs.select("__rid", "doc_id", "__d0", "__d1").join(owner, ["__d0", "__d1"])
-    first = stored(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__rid").alias("r"))).alias("m")).select(F.col("m.r").alias("__rid")), lasting)
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__rid").alias("r"))).alias("m")).select(F.col("m.r").alias("__rid"))
+    out = _numbered(docs, first, few, lasting).select(*names)
     discard(spark, mine)
-    return docs.join(first, "__rid", "left_semi").select(*names)
+    return out
+
+
+def _numbered(documents: DataFrame, numbers: DataFrame, few: bool, keep: list[str]) -> DataFrame:
+    """The rows of ``documents`` whose row number __rid is among the distinct ``numbers``, which are stored.
+
+    ``few``: bitmaps hold the numbers and go to the documents.  Otherwise both are dealt out by row number.
+    """
+    if not few:
+        return documents.join(stored(numbers, keep), "__rid", "left_semi").select(*documents.columns)
+    at, bit = F.bitmap_bucket_number("__rid"), F.bitmap_bit_position("__rid")
+    # numbers meet before they become bits: partial bitmaps would be as many as tasks times bitmaps
+    maps = stored(numbers.select(at.alias("__at"), bit.alias("__bit")).repartition("__at").groupBy("__at").agg(F.bitmap_construct_agg("__bit").alias("__map")), keep)
+    byte = F.conv(F.hex(F.substring("__map", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return documents.join(F.broadcast(maps), at == F.col("__at")).where(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*documents.columns)
 
 
 def _alike(pairs: DataFrame) -> DataFrame:

@@ -164,6 +164,41 @@ def test_one_of_each_reaches_what_brute_force_reaches_at_08(spark):
     assert {r["doc_id"] for r in simhash.one_of_each(frame).select("doc_id").collect()} == set(root)
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_of_each_deals_out_no_texts(spark, docs, monkeypatch):
+    """As with tables too large for a broadcast: texts stay where they lie, and the join on row numbers gives the same rows."""
+    read, sets = [], simhash._sets
+    monkeypatch.setattr(simhash, "_sets", lambda documents, k: read.append(plan(documents)) or sets(documents, k))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = simhash.one_of_each(docs)
+        assert not [x for x in [*read, plan(kept)] if "hashpartitioning" in x]
+        rows = sorted(kept.collect(), key=str)
+        monkeypatch.setattr(simhash, "BITMAPS", 0)
+        kept = simhash.one_of_each(docs)
+        assert "hashpartitioning" in plan(kept) and "hashpartitioning" in read[-1]
+        assert sorted(kept.collect(), key=str) == rows
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_rows_are_found_by_number(spark, few):
+    frame = spark.range(0, 140_000, 1, 2).select("id", F.monotonically_increasing_id().alias("__rid"))  # over two bitmaps a partition
+    want = {0, 1, 7, 8, 32_767, 32_768, 32_769, 65_536, 69_999, 70_000, 70_001, 102_768, 139_999, *random.Random(5).sample(range(140_000), 3000)}
+    numbers = frame.where(F.col("id").isin(list(want))).select("__rid")
+    for ids, some in ((want, numbers), (set(), numbers.where("false"))):
+        kept: list[str] = []
+        got = simhash._numbered(frame, some, few, kept)
+        assert got.columns == frame.columns and len(kept) == 1
+        rows = [r["id"] for r in got.collect()]
+        assert len(rows) == len(ids) and set(rows) == ids
+
+
 # ---------------------------------------------------------------- 3 secrets
 
 
