@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import reach
+from .graph import Links, reach
 
 
 def seeds(tags: DataFrame, symbol: str, file: str = "") -> DataFrame:
@@ -19,14 +19,14 @@ def defined_in(tags: DataFrame, symbol: str, file: str = "") -> DataFrame:
     return first.select(F.coalesce(F.concat_ws(":", F.col("s.rel_file"), F.col("s.line").cast("string")), F.lit("")).alias("defined_in"))
 
 
-def dependents(tags: DataFrame, edge: DataFrame, symbol: str, depth: int = 3, file: str = "") -> DataFrame:
+def dependents(tags: DataFrame, edge: DataFrame | Links, symbol: str, depth: int = 3, file: str = "") -> DataFrame:
     """file, symbol, line, depth: references in each reached file, or one row without a line where it has none."""
     reached = reach(edge, seeds(tags, symbol, file).select("rel_file"), depth).where("depth > 0")
     refs = tags.where((F.col("kind") == "ref") & (F.col("name") == symbol)).select("rel_file", "name", "line")
     return reached.join(refs, "rel_file", "left").select(F.col("rel_file").alias("file"), F.coalesce("name", F.lit("")).alias("symbol"), F.coalesce("line", F.lit(0)).alias("line"), "depth")
 
 
-def blast_radius(tags: DataFrame, edge: DataFrame, symbol: str, depth: int = 3, file: str = "") -> DataFrame:
+def blast_radius(tags: DataFrame, edge: DataFrame | Links, symbol: str, depth: int = 3, file: str = "") -> DataFrame:
     """One row: symbol, defined_in, direct and transitive dependents, total_files_affected."""
     rows = dependents(tags, edge, symbol, depth, file)
     entry = F.struct("file", "symbol", "line", "depth")

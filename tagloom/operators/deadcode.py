@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import columns as C
 
+from .graph import Links, led_to
+
 DEFAULT_MIN_RANK = 0.001
 # Wording of the summary.
 HIDDEN_SYMBOLS = " test symbols hidden; set include_test_symbols to show"
@@ -38,10 +40,10 @@ def hidden_tests(tags: DataFrame, **filters) -> DataFrame:
     return dead_candidates(tags, **filters).agg(F.count_if(F.col("category") == "test").alias("hidden_tests"))
 
 
-def orphan_candidates(nodes: DataFrame, edge: DataFrame, ranks: DataFrame, min_rank: float = DEFAULT_MIN_RANK) -> DataFrame:
+def orphan_candidates(nodes: DataFrame, edge: DataFrame | Links, ranks: DataFrame, min_rank: float = DEFAULT_MIN_RANK) -> DataFrame:
     """Files without an incoming edge whose rank is at most ``min_rank``."""
     floor = min_rank if min_rank > 0 else DEFAULT_MIN_RANK
-    alone = nodes.select("rel_file").join(edge.select(F.col("dst").alias("rel_file")).distinct(), "rel_file", "left_anti")
+    alone = nodes.select("rel_file").join(led_to(edge), "rel_file", "left_anti")
     return (
         alone.join(ranks, "rel_file", "left").withColumn("rank", F.coalesce("rank", F.lit(0.0))).where(F.col("rank") <= floor)
         .select("rel_file", "rank", C.lang_of(F.col("rel_file")).alias("lang"), C.category(F.col("rel_file")).alias("category"))

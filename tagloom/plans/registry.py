@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import columns as C
 from tagloom.operators import blast, cache, callers, changes, deadcode, graph, outline, search
-from tagloom.scratch import stored
+from tagloom.scratch import discard
 from tagloom.streaming import sessions
 
 from . import adapters as A
@@ -206,7 +206,7 @@ def g7_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT src, sum(weight) AS out_weight FROM edges GROUP BY 1", A.TAGS, A.EDGES)
 def g9_out_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.out_weight(graph.edges(A.tags(spark, sf_dir), markdown=False))
+    return graph.out_weight(graph.links(A.tags(spark, sf_dir), markdown=False))
 
 
 def _rank_sql(rounds: int = 15, d: float = 0.85) -> str:
@@ -228,22 +228,21 @@ RANKS = _rank_sql()
 
 @query("SELECT rel_file, round(rank, 9) AS rank FROM ranks", A.TAGS, A.EDGES, RANKS)
 def g8_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranks(A.tags(spark, sf_dir)).select("rel_file", F.round("rank", 9).alias("rank"))
+    t, mine = A.tags(spark, sf_dir), []
+    ranks = graph.pagerank(t.select("rel_file"), graph.links(t, False, True, mine))
+    discard(spark, mine)
+    return ranks.select("rel_file", F.round("rank", 9).alias("rank"))
 
 
-def _ranks(tags: DataFrame) -> DataFrame:
-    return graph.pagerank(tags.select("rel_file"), graph.edges(tags, markdown=False))
+_tables: dict = {}
 
 
-_tables: dict[tuple[str, str, str], DataFrame] = {}
-
-
-def _shared(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The edges or ranks of a tag relation, computed once a session: all queries that need them read the same table."""
+def _shared(spark: SparkSession, sf_dir: str, name: str):
+    """The links or ranks of a tag relation, computed once a session: all queries that need them read the same tables."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _tables:
         t = A.tags(spark, sf_dir)
-        _tables[key] = stored(graph.edges(t, markdown=False)) if name == "edges" else graph.pagerank(t.select("rel_file"), _shared(spark, sf_dir, "edges"))
+        _tables[key] = graph.links(t, markdown=False, tables=True) if name == "links" else graph.pagerank(t.select("rel_file"), _shared(spark, sf_dir, "links"))
     return _tables[key]
 
 
@@ -274,7 +273,7 @@ _ORPHANS = f"orphan AS (SELECT rel_file, rank, {_category('rel_file')} AS catego
 @query("SELECT rel_file, round(rank, 9) AS rank, category FROM orphan WHERE rank <= 0.001 AND category = 'source'", A.TAGS, A.EDGES, RANKS, _ORPHANS)
 def dc5_orphan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = A.tags(spark, sf_dir)
-    e = _shared(spark, sf_dir, "edges")
+    e = _shared(spark, sf_dir, "links")
     return deadcode.orphans(t.select("rel_file").distinct(), e, _shared(spark, sf_dir, "ranks")).select("rel_file", F.round("rank", 9).alias("rank"), "category")
 
 
@@ -285,7 +284,7 @@ def dc5_orphan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def dc6_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = A.tags(spark, sf_dir)
-    e = _shared(spark, sf_dir, "edges")
+    e = _shared(spark, sf_dir, "links")
     o = deadcode.orphan_candidates(t.select("rel_file").distinct(), e, _shared(spark, sf_dir, "ranks"), 1.0)
     return deadcode.summary(deadcode.dead_candidates(t), o)
 
@@ -306,19 +305,19 @@ def b1_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT rel_file, 0 AS depth FROM seed UNION ALL SELECT f, depth FROM reached", A.TAGS, A.EDGES, _BFS)
 def b2_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = A.tags(spark, sf_dir)
-    return graph.reach(_shared(spark, sf_dir, "edges"), blast.seeds(t, _SYMBOL), 3)
+    return graph.reach(_shared(spark, sf_dir, "links"), blast.seeds(t, _SYMBOL), 3)
 
 
 @query(f"SELECT r.f AS file, coalesce(t.name, '') AS symbol, coalesce(t.line, 0)::INTEGER AS line, r.depth FROM reached r LEFT JOIN tags t ON t.rel_file = r.f AND t.kind = 'ref' AND t.name = '{_SYMBOL}'", A.TAGS, A.EDGES, _BFS)
 def b3_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = A.tags(spark, sf_dir)
-    return blast.dependents(t, _shared(spark, sf_dir, "edges"), _SYMBOL)
+    return blast.dependents(t, _shared(spark, sf_dir, "links"), _SYMBOL)
 
 
 @query(f"SELECT '{_SYMBOL}' AS symbol, coalesce((SELECT rel_file || ':' || line FROM tags WHERE kind <> 'ref' AND name = '{_SYMBOL}' ORDER BY rel_file, line LIMIT 1), '') AS defined_in, count(DISTINCT f)::INTEGER AS total_files_affected FROM reached", A.TAGS, A.EDGES, _BFS)
 def b4_blast_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = A.tags(spark, sf_dir)
-    return blast.blast_radius(t, _shared(spark, sf_dir, "edges"), _SYMBOL).select("symbol", "defined_in", "total_files_affected")
+    return blast.blast_radius(t, _shared(spark, sf_dir, "links"), _SYMBOL).select("symbol", "defined_in", "total_files_affected")
 
 
 # ---------------------------------------------------------------- changes
@@ -359,7 +358,7 @@ def t3_t4_changed_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def t5_changed_blast(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = A.tags(spark, sf_dir, spans=True)
-    return changes.changed_blast(t, _shared(spark, sf_dir, "edges"), changes.changed_symbols(t, A.hunks(spark, sf_dir)))
+    return changes.changed_blast(t, _shared(spark, sf_dir, "links"), changes.changed_symbols(t, A.hunks(spark, sf_dir)))
 
 
 @query("""SELECT count(*) || ' changed symbols across ' || (SELECT count(DISTINCT file) FROM hunks) || ' files' || CASE WHEN count(*) FILTER (reason = 'body') > 0 THEN ' (' || count(*) FILTER (reason = 'body') || ' attributed to enclosing definitions)' ELSE '' END AS summary FROM changed""", A.TAGS, A.HUNKS, _HIT)

@@ -55,7 +55,7 @@ class Project:
     files: DataFrame
     tags: DataFrame
     lines: DataFrame
-    edges: DataFrame
+    links: graph.Links
     ranks: DataFrame
     root: str = ""
     cache: TagCache | None = None
@@ -63,9 +63,14 @@ class Project:
     @classmethod
     def of_tags(cls, tags: DataFrame, files: DataFrame, lines: DataFrame, root: str = "", kept: TagCache | None = None) -> Project:
         tags = stored(tags)
-        edges = stored(graph.edges(tags))
-        ranks = stored(graph.pagerank(tags.select("rel_file"), edges))
-        return cls(tags.sparkSession, stored(files), tags, stored(lines), edges, ranks, root, kept)
+        links = graph.links(tags, tables=True)
+        ranks = graph.pagerank(tags.select("rel_file"), links)
+        return cls(tags.sparkSession, stored(files), tags, stored(lines), links, ranks, root, kept)
+
+    @property
+    def edges(self) -> DataFrame:
+        """All edges as pairs: no answer needs them, and they grow with the square of a name's files."""
+        return graph.edges(self.tags)
 
     @classmethod
     def open(cls, spark: SparkSession, root: str, cache_folder: str = "") -> Project:
@@ -128,14 +133,14 @@ class Project:
         return w.text()
 
     def blast_radius(self, symbol: str, max_depth: int = 3, file: str = "") -> str:
-        return blast.blast_radius(self.tags, self.edges, symbol, min(max_depth, 10), file).select(F.to_json(F.struct("*")).alias("j")).first()["j"]
+        return blast.blast_radius(self.tags, self.links, symbol, min(max_depth, 10), file).select(F.to_json(F.struct("*")).alias("j")).first()["j"]
 
     def find_dead_code(self, kinds=None, min_rank: float = 0.0, include_test_symbols=False, include_test_orphans=False, include_doc_orphans=False, unexported_only=False, exported_only=False) -> dict:
         if unexported_only and exported_only:
             raise ValueError("unexported_only and exported_only exclude each other")
         dead = deadcode.dead_candidates(self.tags, kinds, unexported_only, exported_only)
         nodes = self.tags.select("rel_file").distinct()
-        orphan = deadcode.orphan_candidates(nodes, self.edges, self.ranks, min_rank or deadcode.DEFAULT_MIN_RANK)
+        orphan = deadcode.orphan_candidates(nodes, self.links, self.ranks, min_rank or deadcode.DEFAULT_MIN_RANK)
         shown = dead if include_test_symbols else dead.where("category <> 'test'")
         hidden = [c for c, keep in (("test", include_test_orphans), ("docs", include_doc_orphans)) if not keep]
         alone = orphan.where(~F.col("category").isin(*hidden)) if hidden else orphan
@@ -156,7 +161,7 @@ class Project:
         found = stored(changes.changed_symbols(self.tags, hunks))
         rows = [r.asDict() for r in found.orderBy("file", "line").collect()]
         if include_blast_radius:
-            size = {(r["symbol"], r["file"]): r["total_files_affected"] for r in changes.changed_blast(self.tags, self.edges, found).collect()}
+            size = {(r["symbol"], r["file"]): r["total_files_affected"] for r in changes.changed_blast(self.tags, self.links, found).collect()}
             rows = [r | {"blast_radius": size.get((r["symbol"], r["file"]), 0)} for r in rows]
         return {"changed_symbols": rows, "summary": changes.summary(found, hunks).first()["summary"]}
 
