@@ -63,21 +63,22 @@ def ref_sites(tags: DataFrame, lines: DataFrame | None, wanted: DataFrame, path:
     """
     refs = tags.where("kind = 'ref' AND lang <> 'markdown'").where(C.under(F.col("rel_file"), path)).select("name", "rel_file", "line").distinct()
     sites = refs.join(wanted, "name")
-    defs = def_files(tags).join(wanted.select("name").distinct(), "name", "left_semi")
-    other = (
-        wanted.join(defs, "name").groupBy("name", "origin")
-        .agg(F.collect_set("def_file").alias("files"), F.collect_set(F.when(F.col("def_file") != F.col("origin"), module_of(F.col("def_file")))).alias("mods"))
-        .select("name", "origin", "files", F.array_remove("mods", module_of(F.col("origin"))).alias("mods"))
-    )
-    sites = sites.join(other, ["name", "origin"], "left")
-    several = (F.col("origin") != "") & (F.size("files") >= 2) & (F.col("rel_file") != F.col("origin"))
-    own = F.array_contains("files", F.col("rel_file"))
+    defs = wanted.join(def_files(tags), "name")
+    # sets stay rows and meet the sites by equality: a row with all files of a name would cost the square of them
+    several = defs.groupBy("name", "origin").agg((F.count(F.lit(1)) >= 2).alias("__several")).where("__several AND origin <> ''")
+    own = defs.select("name", "origin", F.col("def_file").alias("rel_file"), F.lit(True).alias("__own"))
+    sites = sites.join(several, ["name", "origin"], "left").join(own, ["name", "origin", "rel_file"], "left")
+    elsewhere = F.col("__own").isNotNull()
     if lines is not None:
         text = lines.select("rel_file", "line", F.col("text").alias("__text"))
-        sites = sites.join(text, ["rel_file", "line"], "left")
-        written = F.transform(F.expr("regexp_extract_all(__text, concat('([A-Za-z_][A-Za-z0-9_]*)\\\\s*\\\\.\\\\s*\\\\Q', name, '\\\\E\\\\b'), 1)"), lambda m: m)
-        own = own | F.coalesce(F.arrays_overlap(written, "mods"), F.lit(False))
-    status = F.when(F.coalesce(several & own, F.lit(False)), "elsewhere")
+        mods = defs.where("def_file <> origin").select("name", "origin", module_of(F.col("def_file")).alias("__mod")).where(F.col("__mod") != module_of(F.col("origin"))).distinct()
+        written = F.expr("regexp_extract_all(__text, concat('([A-Za-z_][A-Za-z0-9_]*)\\\\s*\\\\.\\\\s*\\\\Q', name, '\\\\E\\\\b'), 1)")
+        site = ["name", "origin", "rel_file", "line"]
+        named = sites.where("__several").select(*site).join(text, ["rel_file", "line"]).select(*site, F.explode(written).alias("__mod"))
+        named = named.join(mods, ["name", "origin", "__mod"]).select(*site).distinct().withColumn("__named", F.lit(True))
+        sites = sites.join(named, site, "left")
+        elsewhere = elsewhere | F.col("__named").isNotNull()
+    status = F.when(F.col("__several").isNotNull() & (F.col("rel_file") != F.col("origin")) & elsewhere, "elsewhere")
     if not include_tests:
         status = status.when(C.is_test(F.col("rel_file")), "test")
     return sites.select("name", "origin", "rel_file", "line", status.otherwise("shown").alias("status"))

@@ -36,7 +36,8 @@ def tags(spark: SparkSession, sf_dir: str, spans: bool = False, wide: bool = Fal
     out = e.select("event_id", "ts", rel.alias("rel_file"), name.alias("name"), kind.alias("kind"), lang.alias("lang")).withColumn("line", F.row_number().over(w))
     if not spans:
         return out.select("rel_file", "line", F.lit(0).alias("end_line"), "name", "kind", "lang", F.col("line").alias("ord"))
-    after = Window.partitionBy("rel_file").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
+    # running minima from the last line up: a frame that ends at the last row is computed anew for each row
+    after = Window.partitionBy("rel_file").orderBy(F.col("line").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("rel_file")
     next_class = F.min(F.when(F.col("kind") == "class", F.col("line"))).over(after)
     next_def = F.min(F.when(F.col("kind") != "ref", F.col("line"))).over(after)
