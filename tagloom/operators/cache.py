@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BYTES_PER_TAG = 80
@@ -36,11 +36,14 @@ def refreshed(tags: DataFrame, changed: DataFrame, fresh: DataFrame) -> DataFram
 
 
 def deduplicated(tags: DataFrame) -> DataFrame:
-    """Per file the first tag of each (name, kind, line) by emission order; markdown keeps all."""
-    code = tags.where("lang <> 'markdown'")
-    firsts = code.groupBy("rel_file", "name", "kind", "line").agg(F.min(F.struct("ord", "end_line", "lang")).alias("m"))
-    firsts = firsts.select("rel_file", "line", F.col("m.end_line").alias("end_line"), "name", "kind", F.col("m.lang").alias("lang"), F.col("m.ord").alias("ord"))
-    return firsts.unionByName(tags.where("lang = 'markdown'").select(*firsts.columns))
+    """Per file the first tag of each (name, kind, line) by emission order; markdown keeps all.
+
+    One pass over tags dealt out by file: what already lies so is not dealt out again.
+    """
+    mark = F.col("lang") == "markdown"
+    w = Window.partitionBy("rel_file", "name", "kind", "line", "__mark").orderBy("ord", "end_line", "lang")
+    ranked = tags.withColumn("__mark", mark).withColumn("__k", F.row_number().over(w))
+    return ranked.where("__mark OR __k = 1").select("rel_file", "line", "end_line", "name", "kind", "lang", "ord")
 
 
 def status(tags: DataFrame, project) -> DataFrame:

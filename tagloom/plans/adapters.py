@@ -20,10 +20,15 @@ def _rel_file():
     return F.concat(F.lit("p"), (day % 5).cast("string"), F.lit("/"), F.when(user % 10 == 9, "tests/").otherwise(""), F.lit("u"), user.cast("string"), F.lit("_"), day.cast("string"), ext)
 
 
-def tags(spark: SparkSession, sf_dir: str, spans: bool = False, wide: bool = False) -> DataFrame:
+#: Rows of ``events`` that a partition of dealt tags has on average.
+DEALT = 200_000
+
+
+def tags(spark: SparkSession, sf_dir: str, spans: bool = False, wide: bool = False, dealt: bool = False) -> DataFrame:
     """rel_file, line, end_line, name, kind, lang, ord.  A class runs to the next class, a function to the next definition.
 
     ``wide`` files hold all days of a user and few names, so that files refer to names of their own and callers have callers.
+    ``dealt`` tags lie by file in as many partitions as their number asks for, so what a task sorts does not grow with the input.
     """
     e = table(spark, sf_dir, "events")
     user, rel = F.col("user_id"), _rel_file()
@@ -33,7 +38,10 @@ def tags(spark: SparkSession, sf_dir: str, spans: bool = False, wide: bool = Fal
     kind = F.when(F.col("event_type") == "signup", "function").when(F.col("event_type") == "purchase", "class").otherwise("ref")
     lang = F.when(user % 13 == 0, "md").when(user % 3 == 0, "go").when(user % 3 == 1, "python").otherwise("typescript")
     w = Window.partitionBy("rel_file").orderBy("ts", "event_id")
-    out = e.select("event_id", "ts", rel.alias("rel_file"), name.alias("name"), kind.alias("kind"), lang.alias("lang")).withColumn("line", F.row_number().over(w))
+    out = e.select("event_id", "ts", rel.alias("rel_file"), name.alias("name"), kind.alias("kind"), lang.alias("lang"))
+    if dealt:
+        out = out.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-e.count() // DEALT)), "rel_file")
+    out = out.withColumn("line", F.row_number().over(w))
     if not spans:
         return out.select("rel_file", "line", F.lit(0).alias("end_line"), "name", "kind", "lang", F.col("line").alias("ord"))
     # running minima from the last line up: a frame that ends at the last row is computed anew for each row

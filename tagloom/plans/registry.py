@@ -532,8 +532,8 @@ def ou3_directory_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT rel_file, line, name, kind, ord FROM tags", A.TAGS)
 def x17_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = A.tags(spark, sf_dir)
-    twice = t.union(t.withColumn("ord", F.col("ord") + 1_000_000))
+    t = A.tags(spark, sf_dir, dealt=True)
+    twice = t.withColumn("ord", F.explode(F.array("ord", F.col("ord") + 1_000_000)))
     return cache.deduplicated(twice).select("rel_file", "line", "name", "kind", "ord")
 
 
