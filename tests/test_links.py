@@ -114,3 +114,15 @@ def test_f15_first_of_each_tag_and_all_of_markdown(spark):
     rows = [("a", 1, 5, "f", "ref", "python", 3), ("a", 1, 4, "f", "ref", "python", 2), ("a", 1, 0, "f", "ref", "markdown", 1), ("a", 1, 0, "f", "ref", "markdown", 1), ("a", 2, 0, "f", "ref", "python", 4), ("b", 1, 9, "f", "ref", "go", 2), ("b", 1, 8, "f", "ref", "go", 2)]
     got = sorted(tuple(r) for r in cache.deduplicated(spark.createDataFrame(rows, TAG)).collect())
     assert got == sorted([rows[1], rows[2], rows[3], rows[4], rows[6]])
+
+
+@pytest.mark.parametrize(("pairs", "at_once"), [(10**9, 10**6), (20_000, 10**6), (20_000, 50)])
+def test_f10_pairs_are_not_dealt_out(spark, monkeypatch, dense, pairs, at_once):
+    from tagloom.plans import adapters
+
+    monkeypatch.setattr(graph, "AT_ONCE", at_once)
+    out = graph.edges(adapters.tags(spark, dense), False, pairs)
+    assert sorted(tuple(r) for r in out.collect()) == sorted(sql("g5_edges", dense))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    last = plan.index("MapInArrow")
+    assert "Exchange" not in plan[:last] and "Aggregate" not in plan[:last]
