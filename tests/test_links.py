@@ -131,3 +131,9 @@ def test_f10_pairs_are_not_dealt_out(spark, monkeypatch, dense, pairs, at_once):
 @pytest.mark.parametrize("name", ["dc6_summary", "g8_pagerank", "m1_repo_map", "dc5_orphan_files", "b2_reach", "b4_blast_total", "g9_out_weight", "se1_se2_search_ranked"])
 def test_queries_over_the_graph_never_build_edges(spark, monkeypatch, dense, name):
     held_against_sql(spark, monkeypatch, dense, name)
+
+
+def test_f13_directory_outline_of_one_fold(spark, monkeypatch, dense):
+    monkeypatch.setattr(graph, "edges", None)
+    rows = registry.QUERIES["ou3_directory_outline"](spark, dense).collect()
+    assert rows and [r["rel_file"] for r in rows] == sorted(r["rel_file"] for r in rows)
