@@ -128,7 +128,7 @@ def test_f10_pairs_are_not_dealt_out(spark, monkeypatch, dense, pairs, at_once):
     assert "Exchange" not in plan[:last] and "Aggregate" not in plan[:last]
 
 
-@pytest.mark.parametrize("name", ["dc6_summary", "g8_pagerank", "m1_repo_map", "dc5_orphan_files", "b2_reach", "b4_blast_total", "g9_out_weight", "se1_se2_search_ranked"])
+@pytest.mark.parametrize("name", ["dc6_summary", "g8_pagerank", "m1_repo_map", "dc5_orphan_files", "b2_reach", "b4_blast_total", "g9_out_weight", "se1_se2_search_ranked", "se3_search_within_budget"])
 def test_queries_over_the_graph_never_build_edges(spark, monkeypatch, dense, name):
     held_against_sql(spark, monkeypatch, dense, name)
 
