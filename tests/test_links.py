@@ -137,3 +137,14 @@ def test_f13_directory_outline_of_one_fold(spark, monkeypatch, dense):
     monkeypatch.setattr(graph, "edges", None)
     rows = registry.QUERIES["ou3_directory_outline"](spark, dense).collect()
     assert rows and [r["rel_file"] for r in rows] == sorted(r["rel_file"] for r in rows)
+
+
+def test_links_rank_and_weigh_as_edges_do(spark, dense):
+    from tagloom.plans import adapters
+
+    t = adapters.tags(spark, dense)
+    links, edge = graph.links(t, False, True), graph.edges(t, False)
+    weights = [{r["src"]: r["out_weight"] for r in graph.out_weight(g).collect()} for g in (links, edge)]
+    assert weights[0] == weights[1] and weights[0]
+    ranks = [{r["rel_file"]: r["rank"] for r in graph.pagerank(t.select("rel_file"), g, small=n).collect()} for g, n in ((links, graph.SMALL), (links, 0), (edge, 0))]
+    assert len(ranks[0]) > 100 and all(r.keys() == ranks[0].keys() and all(abs(r[f] - ranks[0][f]) < 1e-12 for f in r) for r in ranks[1:])
